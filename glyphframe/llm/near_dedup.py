@@ -132,3 +132,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     found = rows.join(component, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
+
+def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each component; of rows that repeat an id and a text, one."""
+    found = Scratch(docs.sparkSession).save(near_duplicates(docs, id, text).select("doc_id", "kept")).read()
+    removed = found.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    stay = docs.join(small(removed), F.col(id) == F.col("__id"), "left_anti")
+    repeated = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
+    if not repeated.limit(1).count():
+        return stay
+    repeated = small(repeated)
+    return stay.join(repeated, F.col(id) == F.col("__id"), "left_anti").union(stay.join(repeated, F.col(id) == F.col("__id"), "left_semi").dropDuplicates([id, text]))

@@ -133,7 +133,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id: str = "vec_id", vector:
     n_shards, n_blocks = max(1, -(-rows.count() // SHARD_ROWS)), max(1, -(-asked.count() // QUERY_ROWS))
     # Shards are dealt by a hash of the vector too, so that a repeated id doesn't make one of them large.
     shard = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(n_shards)).alias("shard"), F.lit(0).alias("block"), "id", "v").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    block = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).cast("long").alias("shard"), F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)).cast("int").alias("block"), "id", "v")
+    block = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)).cast("int").alias("block"), "id", "v")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []

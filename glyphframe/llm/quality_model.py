@@ -27,7 +27,7 @@ from .training import chosen, fold, scored, sigmoid, trained
 BITS = 18
 SCALE = 8.0
 #: At most so many labelled documents are fitted, those whose ids have the least hashes.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.01
 _LETTERS = re.compile(r"[^\W\d_]+")

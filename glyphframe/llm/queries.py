@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, near_dedup, piece_codec, rule_cascade, source_mix
+from . import html_text, line_dedup, near_dedup, neighbours, piece_codec, quality_model, rule_cascade, source_mix, token_rollup, toxicity
+from .runtime import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,29 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    counted = scratch.save(token_rollup.counted_documents(table(spark, sf_dir, "documents"))).read()
+    return token_rollup.rolled_up(token_rollup.Rollup(spark, f"{scratch.root}/rollup"), token_rollup.with_copies(counted))
+
+
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_documents(table(spark, sf_dir, "documents"), piece_model(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -43,6 +67,11 @@ def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_model": op1_quality_model,
+    "op2_toxicity": op2_toxicity,
+    "op3_html_text": op3_html_text,
+    "op4_neighbours": op4_neighbours,
+    "op5_token_rollup": op5_token_rollup,
     "op6_piece_codec": op6_piece_codec,
     "op7_near_dedup": op7_near_dedup,
     "op8_line_dedup": op8_line_dedup,
@@ -51,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_token_rollup": token_rollup.ORACLE,
     "op9_source_mix": source_mix.oracle(),
     "op10_rule_cascade": rule_cascade.ORACLE,
 }

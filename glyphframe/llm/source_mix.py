@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import WORD, Scratch
+from .runtime import WORD, Scratch, small
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
@@ -81,6 +81,7 @@ def mixed_documents(docs: DataFrame, id: str = "doc_id", source: str = "source",
     copies = F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
     # Repeated ids share one decision, or the join would multiply them.
     decided = decided.where("size > 0").select(F.col("doc_id").alias("__id"), copies.cast("int").alias("__copies")).groupBy("__id").agg(F.max("__copies").alias("__copies")).where("__copies > 0")
+    decided = small(Scratch(docs.sparkSession).save(decided).read())
     return docs.join(decided, F.col(id).eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -7,7 +7,9 @@ step goes the other way (non-negative correction). So no document is ever taken
 
 A text's features are its distinct words (lower case, without punctuation around them) and their beginnings of PREFIXES
 characters, hashed into 2 ** BITS places: an inflected or compounded insult has its beginning in common with others.
-Steps are AdaGrad with a proximal L1 term, so that words that say nothing have weight 0.
+Only features are fitted of which the same prior-corrected estimate says that they tell (see telling). The loss
+is the sigmoid loss, which is bounded, the steps are AdaGrad. Weights other than the bias stay at 0 or above: an insult in a long text can't be outvoted
+by clean words around it.
 
 The prior is the share of toxic ones among the labelled documents outside the held-out fold, at least LEAST_PRIOR. Rows
 without an id or with another label than 0 or 1 are ignored; of an id with several labels the greatest counts. With no
@@ -28,12 +30,13 @@ from .training import chosen, fold, scored, sigmoid, trained
 BITS = 20
 PREFIXES = (4, 5)
 #: At most so many toxic and so many unlabelled documents are fitted, those whose ids have the least hashes.
-TOXIC_ROWS, UNLABELLED_ROWS = 3_000, 9_000
+TOXIC_ROWS, UNLABELLED_ROWS = 2_000, 8_000
 LEAST_PRIOR = 0.005
-EPOCHS, BATCH = 30, 600
-RATE, L1 = 0.3, 0.0015
-#: How far the clean risk may fall below zero before a step goes the other way, and how far it then goes.
-SLACK, BACK = 0.0, 0.5
+STEPS, RATE = 800, 0.7
+#: A feature is fitted if so many toxic documents have it, and if it makes a document toxic with this chance or more.
+FEWEST, TELLING = 4, 0.5
+#: How far a step goes the other way where the clean risk is below zero.
+BACK = 0.1
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_/\\…“”„‚‘’«»¡¿"
 
 
@@ -75,37 +78,44 @@ def fit(texts: list[bytes], marks: np.ndarray, prior: float) -> np.ndarray:
     if not len(toxic) or not len(unlabelled):
         return w
     places, bounds = features(texts)
-    rng, squares = np.random.default_rng(11), np.full(len(w), 1e-6)
     w[-1] = np.log(prior / (1 - prior))
-    for _ in range(EPOCHS):
-        order = rng.permutation(unlabelled)
-        for begin in range(0, len(order), BATCH):
-            u = order[begin : begin + BATCH]
-            p = rng.choice(toxic, max(1, min(len(toxic), BATCH // 3)), replace=False)
-            rows = np.concatenate([p, u])
-            size = bounds[rows + 1] - bounds[rows]
-            at = places[np.repeat(bounds[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-            ends = np.append(0, np.cumsum(size))
-            s = sigmoid(sums(at, ends, w) + w[-1])
-            of_p, of_u = np.arange(len(rows)) < len(p), np.arange(len(rows)) >= len(p)
-            # Logistic losses: -log s of calling it toxic, -log(1 - s) of calling it clean.
-            clean_risk = -np.log1p(-s[of_u] + 1e-12).mean() + prior * np.log1p(-s[of_p] + 1e-12).mean()
-            slope = np.zeros(len(rows))
-            slope[of_u] = s[of_u] / len(u)
-            slope[of_p] -= prior * s[of_p] / len(p)
-            if clean_risk < -SLACK:
-                slope *= -BACK
-            else:
-                slope[of_p] -= prior * (1 - s[of_p]) / len(p)
-            gradient = np.bincount(at, np.repeat(slope, size), minlength=len(w))
-            gradient[-1] = slope.sum()
-            moved = np.flatnonzero(gradient)
-            squares[moved] += gradient[moved] ** 2
-            rate = RATE / np.sqrt(squares[moved])
-            stepped = w[moved] - rate * gradient[moved]
-            shrunk = np.sign(stepped) * np.maximum(0, np.abs(stepped) - rate * L1 * prior)
-            w[moved] = np.where(moved == len(w) - 1, stepped, shrunk)
-    return w
+    told = telling(places, bounds, toxic, unlabelled, prior)[places]
+    bounds = np.append(0, np.cumsum(told))[bounds]
+    return _descend(w, places[told], bounds, toxic, unlabelled, prior)
+
+
+def telling(places: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
+    """Which features to fit: prior * P(feature | toxic) estimates how many toxic documents have a feature among all that
+    do, P(feature | unlabelled), without any label of a clean one."""
+    marks = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    of_toxic, of_all = np.isin(marks, toxic), np.isin(marks, unlabelled)
+    n_toxic, n_all = (np.bincount(places[x], minlength=(1 << BITS) + 1) for x in (of_toxic, of_all))
+    return (n_toxic >= min(FEWEST, len(toxic))) & (prior * n_toxic / len(toxic) >= TELLING * n_all / len(unlabelled))
+
+
+def _descend(w: np.ndarray, places: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
+    """AdaGrad on the whole sample; places holds only features that tell, so a step is cheap."""
+    own = np.append(np.unique(places), len(w) - 1)
+    at, size = np.searchsorted(own, places), np.diff(bounds)
+    v, squares, floor = w[own], np.full(len(own), 1e-12), w[-1] - 4
+    for _ in range(STEPS):
+        s = sigmoid(sums(at, bounds, v) + v[-1])
+        steep = s * (1 - s)
+        clean_risk = s[unlabelled].mean() - prior * s[toxic].mean()
+        slope = np.zeros(len(size))
+        slope[unlabelled] = steep[unlabelled] / len(unlabelled)
+        slope[toxic] -= prior * steep[toxic] / len(toxic)
+        if clean_risk < 0:
+            slope *= -BACK
+        else:
+            slope[toxic] -= prior * steep[toxic] / len(toxic)
+        gradient = np.append(np.bincount(at, np.repeat(slope, size), minlength=len(own) - 1)[: len(own) - 1], slope.sum())
+        squares += gradient**2
+        v = v - RATE * gradient / np.sqrt(squares)
+        v[:-1], v[-1] = np.maximum(0, v[:-1]), max(v[-1], floor)
+    out = w.copy()
+    out[own] = v
+    return out
 
 
 def score(texts: list[bytes | None], weights: np.ndarray) -> np.ndarray:
