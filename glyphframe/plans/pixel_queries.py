@@ -186,3 +186,25 @@ _kernel("k05_heal_halo", lambda p: pixels.heal(p * 1000, np.pad(np.ones((2, 2)),
 _kernel("k08_gate", lambda p: pixels.gate(p, (0, 0, 8, 8), [(0, 0, 4, 8)], dilate=1))
 _kernel("a19_component_stats", lambda p: pixels.labels(p > 0.5))
 _kernel("k13_render_frame", lambda p: pixels.composite(np.arange(64).reshape(8, 8) * 1000, p, [(0, 0, 4, 8), (4, 0, 8, 8)], CompositeConfig()))
+
+
+def _crops(spark, sf_dir):
+    """Ten vectors are a clip; even frames show one box, odd ones another."""
+    k = F.col("vec_id")
+    gray = F.transform("embedding", lambda x: F.round(x.cast("double") * 4, 0))
+    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 10").alias("clip_id"), (k % 10).alias("frame"), F.lit(0).alias("item_ord"), (k % 2).alias("x0"), F.lit(0).alias("y0"), (k % 2 + 8).alias("x1"), F.lit(8).alias("y1"), F.lit(8).alias("h"), F.lit(8).alias("w"), gray.alias("gray"))
+    return rows.withColumn("mask", F.transform("gray", lambda g: (g > 0).cast("double")))
+
+
+@query("t02_mask_cache_state")
+def t02(spark, sf_dir):
+    from glyphframe.streaming.mask_cache import cache_hits
+
+    return cache_hits(_crops(spark, sf_dir), tolerance=0.4)
+
+
+@query("j07_mask_cache")
+def j07(spark, sf_dir):
+    from glyphframe.streaming.mask_cache import cache_hits
+
+    return cache_hits(_crops(spark, sf_dir), tolerance=0.4).groupBy("clip_id").agg(F.count_if("hit").alias("hits"), F.count("*").alias("asked"))
