@@ -9,8 +9,9 @@
    (1 - 0.75 ** ROWS) ** (COORDINATES / ROWS), for 128 and 4 that is 5 in a million.
 4. Links. Every member of a band is compared with the band's smallest member, on the full sets, and verified links join
    representatives to components. What that leaves open are members of one band in different components; only those
-   pairs are compared too, after which no pair that shares a band and could still join two components is unverified. So
-   a large group of copies costs a comparison for each member, not for each pair, and no link is lost.
+   are compared too (as pairs in a small band, block by block in a large one), after which no pair that shares a band and
+   could still join two components is unverified. So a large group of copies costs a comparison for each member, not for
+   each pair, and no link is lost.
 
 A null text or one without words is linked with nothing. Rows that share an id are one document with several texts: its
 links are those of all of them, n_shingles is each row's own. A null id is linked with nothing, and is kept.
@@ -21,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,8 @@ COORDINATES = 128
 ROWS = 4
 #: A link is a similarity of at least PERCENT / 100.
 PERCENT = 75
+#: Bands of up to so many sets are compared in pairs; those of more in blocks of about BLOCK sets.
+PAIRED, BLOCK = 32, 400
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -95,6 +99,73 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
+def _within_small(placed: DataFrame, keys: DataFrame, done: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between members, of different components, of bands that few sets share; pairs that are done are left out."""
+    rest = placed.where("rep > first").join(keys, "key").select("key", "rep", "n_shingles", "component")
+    x, y = rest.alias("x"), rest.alias("y")
+    alike = F.expr(f"100 * least(x.n_shingles, y.n_shingles) >= {PERCENT} * greatest(x.n_shingles, y.n_shingles)")
+    pairs = x.join(y, F.expr("x.key = y.key and x.rep < y.rep and x.component <> y.component") & alike)
+    return verified(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), texts)
+
+
+def _within_large(scratch: Scratch, placed: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between members, of different components, of bands that many sets share.
+
+    A band's members are dealt to blocks of about BLOCK. Two blocks meet in one task, which counts all common shingles
+    as a product of matrices, and gives only links that join components that it hasn't joined: no pair becomes a row.
+    """
+    blocks_of = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = placed.join(keys, "key").select("key", "rep", "component", blocks_of.alias("of"), F.pmod(F.xxhash64("rep", "key"), blocks_of).cast("int").alias("own"))
+    rows = scratch.save(rows.join(texts.withColumnRenamed("id", "rep"), "rep"))
+    left = rows.read().select("key", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("of") - 1)).alias("j"), "rep", "component", "text")
+    right = rows.read().select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), "rep", "component", "text")
+    schema = T.StructType([T.StructField("a", placed.schema["rep"].dataType), T.StructField("b", placed.schema["rep"].dataType)])
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        found = links_between([t.encode() for t in x["text"]], [t.encode() for t in y["text"]], x["component"].to_numpy(), y["component"].to_numpy())
+        return pd.DataFrame({"a": x["rep"].to_numpy()[found[:, 0]], "b": y["rep"].to_numpy()[found[:, 1]]})
+
+    return left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInPandas(meet, schema)
+
+
+def links_between(xs: list[bytes], ys: list[bytes], x_groups: np.ndarray, y_groups: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Rows (place in xs, place in ys) of links that join all groups that links between the two lists join."""
+    if not xs or not ys:
+        return np.zeros((0, 2), np.int64)
+    (sx, bx), (sy, by) = shingle_sets(xs), shingle_sets(ys)
+    shared = np.intersect1d(sx, sy)
+    size_x, size_y = np.diff(bx), np.diff(by)
+    cells = []
+    for flat, size in ((sx, size_x), (sy, size_y)):
+        at = np.minimum(np.searchsorted(shared, flat), max(0, len(shared) - 1))
+        hit = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
+        order = np.argsort(at[hit], kind="stable")
+        cells.append((at[hit][order], np.repeat(np.arange(len(size)), size)[hit][order]))
+    common = np.zeros((len(xs), len(ys)), np.float32)  # counts below 2 ** 24 are exact
+    for start in range(0, len(shared), columns):
+        sides = []
+        for (at, row), n in zip(cells, (len(xs), len(ys)), strict=True):
+            part = slice(*np.searchsorted(at, [start, start + columns]))
+            side = np.zeros((n, columns), np.float32)
+            side[row[part], at[part] - start] = 1
+            sides.append(side)
+        common += sides[0] @ sides[1].T
+    linked = (100 * common >= PERCENT * (size_x[:, None] + size_y[None, :] - common)) & (common > 0) & (x_groups[:, None] != y_groups[None, :])
+    root: dict[int, int] = {}
+
+    def find(g: int) -> int:
+        while (up := root.setdefault(g, g)) != g:
+            root[g] = g = root[up]
+        return g
+
+    found = []
+    for i, j in np.argwhere(linked).tolist():
+        if (g := find(x_groups[i])) != (h := find(y_groups[j])):
+            root[g] = h
+            found.append((i, j))
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id and kept."""
     scratch = Scratch(docs.sparkSession)
@@ -117,13 +188,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     edges = links.read().union(ties.read())
     labels = components(scratch, edges)
 
-    placed = members.read().join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("key")
-    rest = scratch.save(placed.where("rep > first").join(mixed, "key", "left_semi").select("key", "rep", "n_shingles", "component"))
-    x, y = rest.read().alias("x"), rest.read().alias("y")
-    alike = F.expr(f"100 * least(x.n_shingles, y.n_shingles) >= {PERCENT} * greatest(x.n_shingles, y.n_shingles)")
-    open_pairs = x.join(y, F.expr("x.key = y.key and x.rep < y.rep and x.component <> y.component") & alike).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(stars.read(), ["a", "b"], "left_anti")
-    more = scratch.save(verified(open_pairs, texts.read()))
+    placed = scratch.save(members.read().join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))).read()
+    mixed = scratch.save(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("key", "n")).read()
+    more = scratch.save(_within_small(placed, mixed.where(F.col("n") <= PAIRED), stars.read(), texts.read()).union(_within_large(scratch, placed, mixed.where(F.col("n") > PAIRED), texts.read())))
     if more.read().limit(1).count():
         labels = components(scratch, edges.union(more.read()))
     label_of = labels.withColumnRenamed("node", "rep")
@@ -133,6 +200,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component; of rows that repeat an id and a text, one."""
     found = Scratch(docs.sparkSession).save(near_duplicates(docs, id, text).select("doc_id", "kept")).read()
