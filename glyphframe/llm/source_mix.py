@@ -75,14 +75,15 @@ def mixed_documents(docs: DataFrame, id: str = "doc_id", source: str = "source",
     """The documents of the mix with their own columns, each as often as it is taken.
 
     Whole texts only: the document that its source's target cuts is taken once more if half of it or more lies inside.
-    A row that repeats another's id and text follows the decision of that one.
+    Rows that share an id follow the decision of the one that is taken most; rows without words never come.
     """
     decided = mix(docs, id, source, text, weights, most_epochs)
     copies = F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
     # Repeated ids share one decision, or the join would multiply them.
     decided = decided.where("size > 0").select(F.col("doc_id").alias("__id"), copies.cast("int").alias("__copies")).groupBy("__id").agg(F.max("__copies").alias("__copies")).where("__copies > 0")
     decided = small(Scratch(docs.sparkSession).save(decided).read())
-    return docs.join(decided, F.col(id).eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    with_words = docs.where(F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    return with_words.join(decided, F.col(id).eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle(weights: tuple[float, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> str:
