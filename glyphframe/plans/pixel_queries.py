@@ -208,3 +208,22 @@ def j07(spark, sf_dir):
     from glyphframe.streaming.mask_cache import cache_hits
 
     return cache_hits(_crops(spark, sf_dir), tolerance=0.4).groupBy("clip_id").agg(F.count_if("hit").alias("hits"), F.count("*").alias("asked"))
+
+
+@query("k11_segment", f"WITH {CELLS} SELECT vec_id, round(sum(prob), 6) AS total FROM p GROUP BY 1")
+def k11(spark, sf_dir):
+    """Tiles of six pixels over planes of eight, and a model whose logits are its input: the tiles must blend to it."""
+    from glyphframe.operators import models
+
+    crops = logits(spark, sf_dir).select("vec_id", F.lit(8).alias("h"), F.lit(8).alias("w"), F.col("logit").alias("gray"))
+    made = models.segment_crops(crops, lambda: lambda crop: crop, tile=6, overlap=0.25, edge=2)
+    return made.select("vec_id", F.round(F.aggregate("prob", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("j09_region_frame_crop", "SELECT vec_id, p_partkey, round(list_sum(list_transform(list_filter(range(1, 65), lambda i: (i - 1) // 8 < 1 + p_size % 7 AND (i - 1) % 8 < 4), lambda i: CAST(embedding[i] AS DOUBLE))), 6) AS total FROM embeddings JOIN part ON p_partkey % 500 = vec_id")
+def j09(spark, sf_dir):
+    """Parts are regions: the first rows of a frame, as many as the size says, four pixels wide."""
+    frames = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 500).alias("vec_id"), (F.col("p_size") % 7).alias("last"))
+    rows = F.flatten(F.transform(F.sequence(F.lit(0), F.col("last")), lambda y: F.slice("embedding", y * 8 + 1, F.lit(4))))
+    return frames.join(found, "vec_id").select("vec_id", "p_partkey", F.round(F.aggregate(rows, F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))

@@ -352,3 +352,21 @@ def p12(spark, sf_dir):
     al = boxes.alignment(F.lit(1920), F.lit(1080), F.lit(1024), F.lit(768), F.lit("fit"))
     rows = dets_of(spark, sf_dir).withColumn("al", al)
     return rows.select("clip_id", "frame", "det_ord", boxes.map_box(regions.box_of_row(), F.col("al"), F.lit(1024), F.lit(768)).alias("m")).select("clip_id", "frame", "det_ord", "m.*")
+
+
+@query("s14_timeline_read", "SELECT p_partkey AS clip_id, CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 200 END::BIGINT AS x1, CASE WHEN p_partkey % 3 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS score, CASE WHEN p_partkey % 3 = 0 THEN 4 ELSE -1 END AS run FROM part WHERE p_partkey % 3 < 2")
+def s14(spark, sf_dir):
+    """A third of the documents is as they are now, a third has bare boxes, a third has no version and is refused."""
+    now = F.concat(F.lit('{"version":1,"regions":[[],[{"box":[0,0,'), "p_size", F.lit(',9],"score":0.5,"run":4}]]}'))
+    kind = F.col("p_partkey") % 3
+    document = F.when(kind == 0, now).when(kind == 1, '{"version":1,"regions":[[[0,0,200,100]]]}').otherwise('{"regions":[[[0,0,1,1]]]}')
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("clip_id"), document.alias("document"))
+    return timeline.read_documents(docs).select("clip_id", "x1", "score", "run")
+
+
+@query("t01_track_state", f"WITH {TRUTH} SELECT r.clip_id, r.frame, r.item_ord, t.first_frame, t.first_ord FROM regs r JOIN {TRACK_OF} t USING (clip_id, cap_id) WHERE r.clip_id < 8")
+def t01(spark, sf_dir):
+    """Eight clips as a stream of files; each file is a micro-batch of later frames."""
+    from glyphframe.streaming.tracking import replayed_links
+
+    return replayed_links(regions_of(spark, sf_dir).where("clip_id < 8"), 400, CFG).select("clip_id", "frame", "item_ord", "first_frame", "first_ord")
