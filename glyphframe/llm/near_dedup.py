@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .graph import components
+from .graph import components, joined_components
 from .runtime import Scratch, blocks, map_text, small
 from .shingles import mix, shingle_sets
 
@@ -150,6 +150,7 @@ def links_between(xs: list[bytes], ys: list[bytes], x_groups: np.ndarray, y_grou
             side[row[part], at[part] - start] = 1
             sides.append(side)
         common += sides[0] @ sides[1].T
+    common = common.astype(np.int64)
     linked = (100 * common >= PERCENT * (size_x[:, None] + size_y[None, :] - common)) & (common > 0) & (x_groups[:, None] != y_groups[None, :])
     root: dict[int, int] = {}
 
@@ -192,7 +193,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     mixed = scratch.save(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("key", "n")).read()
     more = scratch.save(_within_small(placed, mixed.where(F.col("n") <= PAIRED), stars.read(), texts.read()).union(_within_large(scratch, placed, mixed.where(F.col("n") > PAIRED), texts.read())))
     if more.read().limit(1).count():
-        labels = components(scratch, edges.union(more.read()))
+        labels = joined_components(scratch, labels, more.read())
     label_of = labels.withColumnRenamed("node", "rep")
     component = of_text.read().select("doc_id", "rep").distinct().join(label_of, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     rows = sketched.read().select("doc_id", "n_shingles")
@@ -200,7 +201,6 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component; of rows that repeat an id and a text, one."""
     found = Scratch(docs.sparkSession).save(near_duplicates(docs, id, text).select("doc_id", "kept")).read()
