@@ -3,6 +3,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glyphframe.llm import html_text, line_dedup, neighbours, quality_model, queries, rule_cascade, source_mix, token_rollup, toxicity
 from glyphframe.llm.runtime import Scratch
@@ -76,6 +77,37 @@ def test_lines_keep_one_of_a_group(spark, odd_docs, no_docs):
     assert got.columns == odd_docs.columns and got.count() == odd_docs.count() and line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_lines_with_a_changed_word_are_found(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(2000)]
+    docs, pairs = [], {}
+    for n in (6, 10, 20, 30, 50):
+        for k in range(40):
+            words = list(rng.choice(vocabulary, n))
+            changed = [*words]
+            changed[rng.integers(n)] = "yyyyyy"
+            docs += [(1000 * n + k, " ".join(words)), (1000 * n + 500 + k, " ".join(changed))]
+            pairs[1000 * n + 500 + k] = n
+    rows = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    gone = [r.doc_id for r in rows if r.text == ""]
+    assert set(gone) <= set(pairs), "lines that are like no other stay"
+    for n in (6, 10, 20, 30, 50):
+        assert sum(pairs[i] == n for i in gone) >= 38, f"{n} words"
+
+
+def test_line_links_against_edit_similarity_alone(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    scratch = Scratch(spark)
+    lines = scratch.save(line_dedup.line_table(docs, "doc_id", "text"))
+    kept = {r.h: (r.keep_doc, r.keep_pos) for r in line_dedup.line_groups(scratch, docs, lines, "doc_id", "text").read().collect()}
+    forms = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(line_dedup.normal(F.col("line")).alias("form")).where("size(split(form, ' ')) >= 5").distinct()
+    forms = scratch.save(forms.select("form", F.xxhash64("form").alias("h"), F.length("form").alias("size"))).read().repartition(16)
+    a, b = forms.alias("a"), F.broadcast(forms).alias("b")
+    near = a.join(b, F.expr("a.h < b.h and abs(a.size - b.size) <= 0.2 * greatest(a.size, b.size) and levenshtein(a.form, b.form, int(0.2 * greatest(a.size, b.size))) >= 0"))
+    near = near.select("a.h", F.col("b.h").alias("other")).collect()
+    assert len(near) >= 10 and sum(r.h in kept and kept[r.h] == kept.get(r.other) for r in near) >= 0.98 * len(near)
+
+
 def test_pigeonhole_masks_find_every_near_pair():
     rng = np.random.default_rng(3)
     masks = np.array(line_dedup.masks(), np.int64).view(np.uint64)
