@@ -6,7 +6,7 @@ Lines inside elements that never are main text (navigation, forms, scripts, page
 role that says advert, notice, comments and the like) are set aside. The text-to-tag ratios of the others, without their
 link text, are smoothed with a Gaussian, and the lines above THRESHOLD times the mean form clusters. The heaviest
 cluster shows where the content is; its region is the article that holds most of its text, or else the smallest element
-that holds all of it. All lines of the region stay, short ones too, unless they are lists of links.
+that holds the text of all clusters. All lines of the region stay, short ones too, unless they are lists of links.
 
 Null and empty pages, and pages without any text outside what is set aside, give an empty text. Rows are extracted one by
 one: repeated rows, null ids and an empty table are nothing special.
@@ -156,7 +156,7 @@ def main_text(html: str) -> str:
         return ""
     ratios = smoothed(np.array([max(0, len(t) - links) / max(1, tags) for t, links, tags, _ in rows]))
     above = ratios > THRESHOLD * ratios.mean()
-    region = region_of(rows, heaviest(rows, above))
+    region = region_of(rows, heaviest(rows, above), above)
     inside = [(t, links) for t, links, _, node in rows if contains(region, node)]
     return "\n".join(t for t, links in inside if 2 * links <= len(t) or len(inside) == 1 or region.article is not None)
 
@@ -174,15 +174,15 @@ def heaviest(rows: list[tuple], above: np.ndarray) -> list[int]:
     return best
 
 
-def region_of(rows: list[tuple], cluster: list[int]) -> Node:
-    """The article in which most of the cluster's text lies, or else the innermost element that holds all of it."""
+def region_of(rows: list[tuple], cluster: list[int], above: np.ndarray) -> Node:
+    """The article in which most of the cluster's text lies, or else the innermost element that holds all clusters'."""
     weights: dict[Node | None, int] = {}
     for i in cluster:
         weights[rows[i][3].article] = weights.get(rows[i][3].article, 0) + len(rows[i][0])
     article = max(weights, key=weights.get)
     if article is not None:
         return article
-    nodes = [rows[i][3] for i in cluster]
+    nodes = [rows[i][3] for i in np.flatnonzero(above)] or [rows[i][3] for i in cluster]
     common = nodes[0].parent if len(nodes) == 1 and nodes[0].parent else nodes[0]
     for node in nodes[1:]:
         while not contains(common, node):

@@ -125,6 +125,12 @@ def test_long_lines_that_differ_in_a_word_are_linked(spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}[2] == ""
 
 
+def test_all_clusters_of_a_page_without_article():
+    long, short = "<p>" + "a long line of words " * 19 + "</p>", "<p>a short line of it</p>"
+    page = f"<body><div id=content><div class=part1>{long * 5}</div><div class=part2>{short * 3}</div><div class=part3>{long * 4}</div></div></body>"
+    assert [len(line) for line in html_text.main_text(page).split("\n")] == [398] * 5 + [18] * 3 + [398] * 4
+
+
 def test_pigeonhole_masks_find_every_near_pair():
     rng = np.random.default_rng(3)
     masks = np.array(line_dedup.masks(), np.int64).view(np.uint64)
