@@ -3,7 +3,8 @@
 The events of the standard library's HTML parser are streamed into lines: a block element or a line break ends a line,
 inline elements don't. A line knows its text, its tags, how much of its text is in links, and the elements it lies in.
 Lines inside elements that never are main text (navigation, forms, scripts, page headers and footers, or a class, id or
-role that says advert, notice, comments and the like) are set aside. The text-to-tag ratios of the others, without their
+role that says advert, notice, comments and the like) are set aside. A name, or being a form, doesn't set an element
+aside that holds the only article, or without articles MOSTLY of the page's text: that is a layout's wrapper. The text-to-tag ratios of the others, without their
 link text, are smoothed with a Gaussian, and the lines above THRESHOLD times the mean form clusters. The heaviest
 cluster shows where the content is; its region is the article that holds most of its text, or else the smallest element
 that holds the text of all clusters. All lines of the region stay, short ones too, unless they are lists of links.
@@ -15,6 +16,7 @@ one: repeated rows, null ids and an empty table are nothing special.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -26,11 +28,12 @@ from .runtime import map_text
 SIGMA = 1.0
 RADIUS = 2
 THRESHOLD = 0.5
+MOSTLY = 0.75
 
 # Element names of HTML, and words that name what isn't main text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-NEVER = set("head title script style noscript template nav aside form button select option textarea iframe object svg canvas audio video menu dialog".split())
+NEVER = set("head title script style noscript template nav aside button select option textarea iframe object svg canvas audio video menu dialog".split())
 ARTICLE = {"article", "main"}
 UNCLOSED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -40,18 +43,26 @@ NAMED = set(
     "toolbar widget widgets".split()
 )
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+WITH = {"has", "no", "with", "without"}
 _WORDS = re.compile(r"[A-Za-z]+")
 
 
+def names_aside(token: str) -> bool:
+    """Whether a word of a class or id names what isn't main text, and not what a layout has or lacks."""
+    words = _WORDS.findall(token.lower())
+    return bool(words) and words[0] not in WITH and not NAMED.isdisjoint(words)
+
+
 class Node:
-    """An element that is open or was: what it lies in, and whether it or what it lies in is set aside."""
+    """An element that is open or was: what it lies in, whether it is set aside by name, and whether it or what it lies
+    in is set aside for good."""
 
-    __slots__ = ("aside", "article", "depth", "parent", "tag")
+    __slots__ = ("article", "depth", "named", "never", "parent", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, aside: bool):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: Node | None, never: bool, named: bool):
+        self.tag, self.parent, self.named = tag, parent, named
         self.depth = parent.depth + 1 if parent else 0
-        self.aside = aside or bool(parent and parent.aside)
+        self.never = never or bool(parent and parent.never)
         self.article = self if tag in ARTICLE else parent.article if parent else None
 
 
@@ -60,7 +71,7 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.node = Node("", None, False)
+        self.node = Node("", None, False, False)
         self.lines: list[list] = []
         self.links = 0
         self.fresh()
@@ -84,7 +95,7 @@ class Lines(HTMLParser):
         if tag in UNCLOSED:
             self.close_open(UNCLOSED[tag], stop={"ul", "ol", "dl", "table", "select", "article", "section", "div", "body"})
         self.links += tag == "a"
-        self.node = Node(tag, self.node, self.set_aside(tag, attrs))
+        self.node = Node(tag, self.node, *self.set_aside(tag, attrs))
 
     def close_open(self, tags: set[str], stop: set[str]) -> None:
         """Ends the innermost open element of these tags, unless one of stop lies around the place first."""
@@ -102,20 +113,25 @@ class Lines(HTMLParser):
             inner = inner.parent
         self.node = node.parent
 
-    def set_aside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def set_aside(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+        """Whether an element is set aside for good, and whether by a name that a wrapper of the page may have too."""
+        named = tag == "form"
         if tag in NEVER:
-            return True
+            return True, False
         if tag in ("header", "footer"):  # an article's own header has its title, but a footer is none of its text
-            return tag == "footer" or self.node.article is None
+            return tag == "footer" or self.node.article is None, False
         for name, value in attrs:
             if name in ("hidden", "inert") or (name == "aria-hidden" and value == "true"):
-                return True
+                return True, False
             if value and name in ("class", "id") and tag not in ("html", "body", "main", "article"):
-                if any(w.lower() in NAMED for w in _WORDS.findall(value)):
-                    return True
-            if value and ((name == "role" and value.strip().lower() in ROLES) or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))):
-                return True
-        return False
+                named = named or any(names_aside(token) for token in value.split())
+            if value and name == "role" and value.strip().lower() in ROLES:
+                if value.strip().lower() != "form":
+                    return True, False
+                named = True
+            if value and name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                return True, False
+        return False, named
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
@@ -150,8 +166,8 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    rows = [(" ".join("".join(pieces).split()), links, tags, node) for pieces, links, tags, node in parser.lines if not node.aside]
-    rows = [r for r in rows if r[0]]
+    rows = [(" ".join("".join(pieces).split()), links, tags, node) for pieces, links, tags, node in parser.lines if not node.never]
+    rows = not_aside([r for r in rows if r[0]])
     if not rows:
         return ""
     ratios = smoothed(np.array([max(0, len(t) - links) / max(1, tags) for t, links, tags, _ in rows]))
@@ -161,6 +177,31 @@ def main_text(html: str) -> str:
     return "\n".join(t for t, links in inside if 2 * links <= len(t) or len(inside) == 1 or region.article is not None)
 
 
+def not_aside(rows: list[tuple]) -> list[tuple]:
+    """The lines that no name sets aside."""
+    named = {node: {n for n in around(node) if n.named} for node in {r[3] for r in rows}}
+    if not any(named.values()):
+        return rows
+    weights: dict[Node, int] = {}
+    for text, links, _, node in rows:
+        for n in around(node):
+            weights[n] = weights.get(n, 0) + max(0, len(text) - links)
+    articles = {n for n in weights if n.tag in ARTICLE}
+    if articles:
+        free = any(not any(n.named for n in around(a)) and weights[a] for a in articles)
+        wrappers = set() if free else set(around(max(articles, key=lambda a: (weights[a], -a.depth))))
+    else:
+        wrappers = {n for n in weights if n.named and weights[n] >= MOSTLY * max(weights.values())}
+    return [r for r in rows if named[r[3]] <= wrappers]
+
+
+def around(node: Node | None) -> Iterator[Node]:
+    """An element and all that it lies in."""
+    while node is not None:
+        yield node
+        node = node.parent
+
+
 def heaviest(rows: list[tuple], above: np.ndarray) -> list[int]:
     """The run of lines above the threshold that has most text outside links."""
     best, run, most = list(range(len(rows))), [], 0

@@ -131,6 +131,16 @@ def test_all_clusters_of_a_page_without_article():
     assert [len(line) for line in html_text.main_text(page).split("\n")] == [398] * 5 + [18] * 3 + [398] * 4
 
 
+@pytest.mark.parametrize("wrapper", ["div class='layout has-sidebar'", "div class='no-comments'", "div class='elementor-widget-container'", "div id=social-page", "form id=aspnet"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_wrappers_of_the_page_are_not_set_aside(wrapper, tag):
+    text = "<p>" + "a long line of words " * 19 + "</p>"
+    page = f"<body><{wrapper}><{tag} id=text>{text * 4}</{tag}><div class=comments><p>first comment</p></div></{wrapper.split()[0]}></body>"
+    assert html_text.main_text(page) == "\n".join(["a long line of words " * 18 + "a long line of words"] * 4)
+    side = f"<body><{tag} id=text>{text * 4}</{tag}><div class='ad-slot'><p>buy this now</p></div><form><p>subscribe to it</p></form></body>"
+    assert html_text.main_text(side) == html_text.main_text(page)
+
+
 def test_pigeonhole_masks_find_every_near_pair():
     rng = np.random.default_rng(3)
     masks = np.array(line_dedup.masks(), np.int64).view(np.uint64)
