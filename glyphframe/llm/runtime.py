@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker holds as one block.
 BLOCK_BYTES = 4 << 20
-#: A table is broadcast only after a count shows that it has no more rows than this (rows of a few longs).
+#: A table is broadcast only after a count shows that it has no more rows and bytes than this.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 48 << 20
 #: The words of every contract: runs of bytes other than space and \t\n\v\f\r; bytes.split() cuts at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,17 +31,30 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='corpus-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _local_dir()
     return path.rstrip("/")
 
 
+@functools.cache
+def _local_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='corpus-')}"
+
+
 class Scratch:
-    """Parquet tables in the shared folder: they cut lineage, survive a lost executor and can be dropped early."""
+    """Parquet tables in the shared folder: they cut lineage, survive a lost executor and can be dropped early.
+
+    What isn't dropped goes with the driver's JVM, as results may still be read from it till then.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self._n = 0
+        fs, path = self._place(self.root)
+        fs.deleteOnExit(path)
+
+    def _place(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
 
     def save(self, df: DataFrame) -> Table:
         self._n += 1
@@ -47,6 +62,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return Table(self, path, df.schema)
 
+    def drop(self, *tables: Table) -> None:
+        """Deletes tables, and lets the driver collect its garbage: only then do the shuffles of ended jobs leave the disks."""
+        for table in tables:
+            table.drop()
+        self.spark._jvm.System.gc()
+
 
 class Table:
     def __init__(self, scratch: Scratch, path: str, schema: T.StructType):
@@ -56,14 +77,28 @@ class Table:
         return self._scratch.spark.read.schema(self._schema).parquet(self.path)
 
     def drop(self) -> None:
-        spark = self._scratch.spark
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = self._scratch._place(self.path)
+        fs.delete(path, True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows and bytes are counted to be few enough; otherwise as it is, for a shuffled join."""
+    width = sum((F.coalesce(_bytes(df[c], f.dataType), F.lit(0)) + 8 for c, f in zip(df.columns, df.schema.fields, strict=True)), F.lit(0))
+    n, total = df.select(width.cast("long").alias("width")).limit(rows + 1).agg(F.count("*"), F.sum("width")).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
+
+
+def _bytes(column: Column, kind: T.DataType) -> Column:
+    """The bytes of a value of variable length, beside the eight that any value takes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.octet_length(column)
+    return F.octet_length(F.to_json(F.struct(column))) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else F.lit(0)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count proves it small enough; otherwise as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def unclashed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns c0, c1 ..., and the new name of each: whatever df's columns are called, internal ones can't clash."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
