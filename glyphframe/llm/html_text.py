@@ -4,19 +4,23 @@ The events of the standard library's HTML parser are streamed into lines: a bloc
 inline elements don't. A line knows its text, its tags, how much of its text is in links, and the elements it lies in.
 Lines inside elements that never are main text (navigation, forms, scripts, page headers and footers, or a class, id or
 role that says advert, notice, comments and the like) are set aside. A name, or being a form, doesn't set an element
-aside that holds the only article, or without articles MOSTLY of the page's text: that is a layout's wrapper. The text-to-tag ratios of the others, without their
-link text, are smoothed with a Gaussian, and the lines above THRESHOLD times the mean form clusters. The heaviest
-cluster shows where the content is; its region is the article that holds most of its text, or else the smallest element
-that holds the text of all clusters. All lines of the region stay, short ones too, unless they are lists of links.
+aside that holds the only article, or without articles MOSTLY of the page's text: that is a layout's wrapper.
 
-Null and empty pages, and pages without any text outside what is set aside, give an empty text. Rows are extracted one by
-one: repeated rows, null ids and an empty table are nothing special.
+The text-to-tag ratios of the others, without their link text, are smoothed with a Gaussian, and the lines above THRESHOLD
+times the mean form clusters. If the heaviest cluster lies in an article, the region is every outermost article with a line
+of a cluster, so that several stay, and what main holds beside an article; else it is the smallest element that holds the
+text of all clusters. All lines of the region stay, short ones too, but for lists of links: lines that are mostly links and
+are items, cells or beside another such line. Inside an inner article these stay as well.
+
+Work grows with the page, not with the square of its depth: elements keep what close tags look for. Null and empty pages,
+and pages without any text outside what is set aside, give an empty text. Rows are extracted one by one: repeated rows,
+null ids and an empty table are nothing special.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable
 from html.parser import HTMLParser
 
 import numpy as np
@@ -36,6 +40,9 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 NEVER = set("head title script style noscript template nav aside button select option textarea iframe object svg canvas audio video menu dialog".split())
 ARTICLE = {"article", "main"}
 UNCLOSED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSABLE = set().union(*UNCLOSED.values())
+STOPS = set("ul ol dl table select article section div body".split())
+STOPS_P = set("td th div section article body li blockquote".split())
 ENDS_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 NAMED = set(
     "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr masthead menu modal nav navbar "
@@ -55,15 +62,21 @@ def names_aside(token: str) -> bool:
 
 class Node:
     """An element that is open or was: what it lies in, whether it is set aside by name, and whether it or what it lies
-    in is set aside for good."""
+    in is set aside for good. open_p and closable are the open elements that a start tag may end, by tag."""
 
-    __slots__ = ("article", "depth", "named", "never", "parent", "tag")
+    __slots__ = ("article", "closable", "depth", "named", "never", "open_p", "parent", "scope", "tag")
 
     def __init__(self, tag: str, parent: Node | None, never: bool, named: bool):
         self.tag, self.parent, self.named = tag, parent, named
         self.depth = parent.depth + 1 if parent else 0
         self.never = never or bool(parent and parent.never)
         self.article = self if tag in ARTICLE else parent.article if parent else None
+        # How often each tag is open since the innermost article or body.
+        self.scope: dict[str, int] = parent.scope if parent and tag not in ("article", "body") else {}
+        self.open_p: Node | None = self if tag == "p" else None if not parent or tag in STOPS_P else parent.open_p
+        self.closable: dict[str, Node] = {} if not parent or tag in STOPS else parent.closable
+        if tag in CLOSABLE:
+            self.closable = self.closable | {tag: self}
 
 
 class Lines(HTMLParser):
@@ -74,6 +87,7 @@ class Lines(HTMLParser):
         self.node = Node("", None, False, False)
         self.lines: list[list] = []
         self.links = 0
+        self.open: dict[str, int] = {}
         self.fresh()
 
     def fresh(self) -> None:
@@ -90,26 +104,23 @@ class Lines(HTMLParser):
             self.end_line()
         if tag in VOID:
             return
-        if tag in ENDS_P:
-            self.close_open({"p"}, stop={"td", "th", "div", "section", "article", "body", "li", "blockquote"})
-        if tag in UNCLOSED:
-            self.close_open(UNCLOSED[tag], stop={"ul", "ol", "dl", "table", "select", "article", "section", "div", "body"})
+        if tag in ENDS_P and self.node.open_p:
+            self.leave(self.node.open_p)
+        if inner := [self.node.closable[t] for t in UNCLOSED.get(tag, ()) if t in self.node.closable]:
+            self.leave(max(inner, key=lambda n: n.depth))
         self.links += tag == "a"
         self.node = Node(tag, self.node, *self.set_aside(tag, attrs))
+        self.count(self.node, 1)
 
-    def close_open(self, tags: set[str], stop: set[str]) -> None:
-        """Ends the innermost open element of these tags, unless one of stop lies around the place first."""
-        node = self.node
-        while node and node.tag not in stop:
-            if node.tag in tags:
-                self.leave(node)
-                return
-            node = node.parent
+    def count(self, node: Node, by: int) -> None:
+        for counts in (self.open, node.scope):
+            counts[node.tag] = counts.get(node.tag, 0) + by
 
     def leave(self, node: Node) -> None:
         inner = self.node
         while inner is not node.parent:
             self.links -= inner.tag == "a"
+            self.count(inner, -1)
             inner = inner.parent
         self.node = node.parent
 
@@ -123,7 +134,7 @@ class Lines(HTMLParser):
         for name, value in attrs:
             if name in ("hidden", "inert") or (name == "aria-hidden" and value == "true"):
                 return True, False
-            if value and name in ("class", "id") and tag not in ("html", "body", "main", "article"):
+            if value and name in ("class", "id") and tag not in ("html", "body", "main"):
                 named = named or any(names_aside(token) for token in value.split())
             if value and name == "role" and value.strip().lower() in ROLES:
                 if value.strip().lower() != "form":
@@ -136,12 +147,11 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self.end_line()
-        node = self.node
-        while node and node.tag != tag:
-            if node.tag in ("article", "body") and tag in INLINE | {"p", "li"}:
-                return
-            node = node.parent
-        if node and node.parent:
+        # An end tag of what isn't open, or is only around the article or body, ends nothing.
+        if (self.node.scope if tag in INLINE or tag in ("p", "li") else self.open).get(tag, 0) > 0:
+            node = self.node
+            while node.tag != tag:
+                node = node.parent
             self.leave(node)
 
     def handle_data(self, data: str) -> None:
@@ -172,34 +182,69 @@ def main_text(html: str) -> str:
         return ""
     ratios = smoothed(np.array([max(0, len(t) - links) / max(1, tags) for t, links, tags, _ in rows]))
     above = ratios > THRESHOLD * ratios.mean()
-    region = region_of(rows, heaviest(rows, above), above)
-    inside = [(t, links) for t, links, _, node in rows if contains(region, node)]
-    return "\n".join(t for t, links in inside if 2 * links <= len(t) or len(inside) == 1 or region.article is not None)
+    regions = regions_of(rows, heaviest(rows, above), above)
+    kept = inherited({r[3] for r in rows}, lambda n, over: over or n in regions)
+    rows = [r for r in rows if kept[r[3]]]
+    listed = [2 * links > len(t) for t, links, _, _ in rows]
+    beside = [a or z for a, z in zip([False, *listed], [*listed[1:], False], strict=False)]
+    stays = [not link or len(rows) == 1 or r[3].article is not None and r[3].article.tag == "article" or not (near or items(r[3])) for r, link, near in zip(rows, listed, beside, strict=True)]
+    return "\n".join(r[0] for r, yes in zip(rows, stays, strict=True) if yes)
+
+
+def items(node: Node) -> bool:
+    """Whether an element is an item or cell, or an inline element in one."""
+    while node.parent and node.tag in INLINE:
+        node = node.parent
+    return node.tag in ("li", "dd", "dt", "td", "th")
+
+
+def inherited(nodes: Iterable[Node], rule: Callable[[Node, object], object], start: object = False) -> dict[Node, object]:
+    """rule(element, what it gave for the parent) for all elements and those around them, each worked out once."""
+    known: dict[Node, object] = {}
+    for node in nodes:
+        path = []
+        while node is not None and node not in known:
+            path.append(node)
+            node = node.parent
+        value = known[node] if node is not None else start
+        for node in reversed(path):
+            known[node] = value = rule(node, value)
+    return known
+
+
+def gathered(weights: dict[Node, int]) -> dict[Node, int]:
+    """For all elements and those around them, the weights inside them added up."""
+    total = dict.fromkeys(inherited(weights, lambda n, _: None), 0)
+    for node, weight in weights.items():
+        total[node] += weight
+    for node in sorted(total, key=lambda n: -n.depth):
+        if node.parent is not None:
+            total[node.parent] += total[node]
+    return total
 
 
 def not_aside(rows: list[tuple]) -> list[tuple]:
     """The lines that no name sets aside."""
-    named = {node: {n for n in around(node) if n.named} for node in {r[3] for r in rows}}
-    if not any(named.values()):
+    free = inherited({r[3] for r in rows}, lambda n, over: over and not n.named, True)
+    if all(free[r[3]] for r in rows):
         return rows
-    weights: dict[Node, int] = {}
+    own: dict[Node, int] = {}
     for text, links, _, node in rows:
-        for n in around(node):
-            weights[n] = weights.get(n, 0) + max(0, len(text) - links)
-    articles = {n for n in weights if n.tag in ARTICLE}
+        own[node] = own.get(node, 0) + max(0, len(text) - links)
+    weights = gathered(own)
+    articles = [n for n in weights if n.tag in ARTICLE]
     if articles:
-        free = any(not any(n.named for n in around(a)) and weights[a] for a in articles)
-        wrappers = set() if free else set(around(max(articles, key=lambda a: (weights[a], -a.depth))))
+        wrappers = set()
+        if not any(free[a] and weights[a] for a in articles):
+            node = max(articles, key=lambda a: (weights[a], -a.depth))
+            while node is not None:
+                wrappers.add(node)
+                node = node.parent
     else:
-        wrappers = {n for n in weights if n.named and weights[n] >= MOSTLY * max(weights.values())}
-    return [r for r in rows if named[r[3]] <= wrappers]
-
-
-def around(node: Node | None) -> Iterator[Node]:
-    """An element and all that it lies in."""
-    while node is not None:
-        yield node
-        node = node.parent
+        most = MOSTLY * max(weights.values())
+        wrappers = {n for n in weights if n.named and weights[n] >= most}
+    stays = inherited({r[3] for r in rows}, lambda n, over: over and (not n.named or n in wrappers), True)
+    return [r for r in rows if stays[r[3]]]
 
 
 def heaviest(rows: list[tuple], above: np.ndarray) -> list[int]:
@@ -215,28 +260,22 @@ def heaviest(rows: list[tuple], above: np.ndarray) -> list[int]:
     return best
 
 
-def region_of(rows: list[tuple], cluster: list[int], above: np.ndarray) -> Node:
-    """The article in which most of the cluster's text lies, or else the innermost element that holds all clusters'."""
+def regions_of(rows: list[tuple], cluster: list[int], above: np.ndarray) -> set[Node]:
+    """The outermost articles with a line above the threshold, if the cluster lies in one; or else the innermost element
+    that holds all lines above it (of one line, what the line lies in)."""
+    outermost = inherited({r[3] for r in rows}, lambda n, over: over or (n if n.tag in ARTICLE else None), None)
     weights: dict[Node | None, int] = {}
     for i in cluster:
-        weights[rows[i][3].article] = weights.get(rows[i][3].article, 0) + len(rows[i][0])
-    article = max(weights, key=weights.get)
-    if article is not None:
-        return article
-    nodes = [rows[i][3] for i in np.flatnonzero(above)] or [rows[i][3] for i in cluster]
-    common = nodes[0].parent if len(nodes) == 1 and nodes[0].parent else nodes[0]
-    for node in nodes[1:]:
-        while not contains(common, node):
-            common = common.parent
-    return common
-
-
-def contains(outer: Node, node: Node | None) -> bool:
-    while node is not None and node.depth >= outer.depth:
-        if node is outer:
-            return True
-        node = node.parent
-    return False
+        weights[outermost[rows[i][3]]] = weights.get(outermost[rows[i][3]], 0) + len(rows[i][0])
+    high = np.flatnonzero(above).tolist() or cluster
+    if max(weights, key=weights.get) is not None:
+        return {outermost[rows[i][3]] for i in high} - {None}
+    counts: dict[Node, int] = {}
+    for i in high:
+        counts[rows[i][3]] = counts.get(rows[i][3], 0) + 1
+    around = [n for n, held in gathered(counts).items() if held == len(high)]
+    common = max(around, key=lambda n: n.depth)
+    return {common.parent if len(counts) == 1 and common.parent else common}
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
