@@ -2,38 +2,38 @@
 
 A change is an insert, a delete or a revision of one document's count: revision takes the old count back and adds the new
 one, which may be of another source, language or tokenizer version. A batch of changes is added up by source, language
-and tokenizer into signed deltas, and committed as one folder under its name. A folder without the success marker, left by
-a job that died, is nothing and is written anew; a name that is committed already is not applied again. Totals are the
-base and the deltas that it doesn't hold yet; compact() makes a new base of them. As all is additive, batches may come in
-any order.
+and tokenizer into signed deltas, written as a folder of its own, and committed by one small file under the batch's name,
+made only if there is none. A folder that no such file names, left by a job that died, is nothing. A name that is
+committed already is not applied again, and is an error if its deltas differ from those committed.
+
+Totals are the last manifest's base and the deltas that are committed and not in it, read in one scan. compact() takes one
+list of those, sums exactly these to a new base, and commits it by the next manifest, which holds the names; then their
+commits are moved to done and their deltas dropped at the next compaction, as readers may still be at them. A batch
+that is committed meanwhile is in the next list. As all is additive, batches may come in any order.
 
 Null sources, languages and tokenizers are groups of their own; a null count is 0. Repeated changes in one batch count as
 often as they are there. Groups whose documents and tokens are both 0 again have no row; an empty batch adds nothing.
+Rows that repeat an id are documents each; a null id is counted, and copies no other's text.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable, Iterable
+import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import WORD, map_text
+from .runtime import map_text
 
 KEYS = ("source", "lang", "tokenizer")
-#: An ASCII mark alone, or a run of ASCII letters, digits and other characters than ASCII.
-MARKS_AND_RUNS = r"[!-/:-@\[-`{-~]|[0-9A-Za-z\x80-\x{10FFFF}]+"
 DELTA = T.StructType([*[T.StructField(k, T.StringType()) for k in KEYS], T.StructField("docs", T.LongType()), T.StructField("tokens", T.LongType())])
 
 
-def pattern_tokens(text: Column, pattern: str) -> Column:
-    """How many matches of a pattern a text has; a null text has none."""
-    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(pattern)).cast("long")
-
-
 def rank_file_tokens(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns and tokens: the number of ids that a public byte-level BPE vocabulary gives a whole text."""
 
@@ -65,90 +65,146 @@ def revised(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals by source, language and tokenizer in a folder that all executors share."""
+    """Totals by source, language and tokenizer in a folder that all executors share.
+
+    Two jobs may commit at once under different names; of two compactions at once one does nothing.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _fs(self, path: str):
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+    def _place(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
         return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
 
-    def _committed(self, kind: str) -> list[str]:
-        fs, place = self._fs(f"{self.root}/{kind}")
+    def _names(self, folder: str) -> list[str]:
+        fs, place = self._place(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(place) if s.getLen()) if fs.exists(place) else []
+
+    def _get(self, path: str) -> dict | None:
+        """A small file's content; None if there is none, or it is empty as its writer died."""
+        fs, place = self._place(path)
         if not fs.exists(place):
-            return []
-        names = sorted(s.getPath().getName() for s in fs.listStatus(place) if s.isDirectory())
-        return [n for n in names if fs.exists(self._fs(f"{self.root}/{kind}/{n}/_SUCCESS")[1])]
+            return None
+        stream = fs.open(place)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text) if text else None
+
+    def _put(self, path: str, content: dict) -> bool:
+        """Makes a small file; False if there is one."""
+        fs, place = self._place(path)
+        if fs.exists(place) and not fs.getFileStatus(place).getLen():
+            fs.delete(place, False)
+        try:
+            stream = fs.create(place, False)
+        except Exception:
+            if self._get(path) is None:
+                raise
+            return False
+        stream.write(bytearray(json.dumps(content).encode()))
+        stream.close()
+        return True
+
+    def _drop(self, path: str) -> None:
+        fs, place = self._place(path)
+        fs.delete(place, True)
+
+    def _committed(self, name: str) -> dict | None:
+        return self._get(f"pending/{name}") or self._get(f"done/{name}")
 
     def commit(self, name: str, changes: DataFrame) -> bool:
-        """Adds a batch of signed changes under its name; False if it was committed before, and nothing is done."""
+        """Adds a batch of signed changes under its name; False if it was committed before, and nothing is done.
+
+        ValueError if other changes were committed under that name.
+        """
         if not re.fullmatch(r"[A-Za-z0-9-]+", name):
             raise ValueError("a batch is named by letters, digits and hyphens")
-        if name in self._committed("deltas") or name in self._in_base():
-            return False
+        folder = f"deltas/{name}-{uuid.uuid4().hex}"
         deltas = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        deltas.write.mode("overwrite").parquet(f"{self.root}/deltas/{name}")
-        return True
-
-    def _base(self) -> str | None:
-        return max(self._committed("base"), default=None)
-
-    def _in_base(self) -> set[str]:
-        base = self._base()
-        return {r["name"] for r in self.spark.read.parquet(f"{self.root}/names/{base}").collect()} if base else set()
+        deltas.write.parquet(f"{self.root}/{folder}")
+        rows = self.spark.read.schema(DELTA).parquet(f"{self.root}/{folder}")
+        n, digest = rows.agg(F.count("*"), F.sum(F.xxhash64(*DELTA.names).cast("decimal(38,0)"))).first()
+        batch = {"folder": folder, "groups": n, "digest": str(digest)}
+        new = not self._committed(name) and self._put(f"pending/{name}", batch)
+        if not new:
+            self._drop(folder)
+            was = self._committed(name)
+            if (was["groups"], was["digest"]) != (n, batch["digest"]):
+                raise ValueError(f"batch {name} is committed with other changes")
+        return new
+
+    def _state(self) -> tuple[int, dict, dict[str, dict]]:
+        """The last manifest's number and content, and the batches committed since, all of one moment."""
+        while True:
+            before = self._names("manifests")
+            pending = {n: self._get(f"pending/{n}") for n in self._names("pending")}
+            if before == self._names("manifests"):
+                manifest = self._get(f"manifests/{before[-1]}") if before else {"base": None, "names": [], "retired": []}
+                return int(before[-1]) if before else 0, manifest, {n: b for n, b in pending.items() if b and n not in manifest["names"]}
+
+    def _sum(self, manifest: dict, batches: dict[str, dict]) -> DataFrame:
+        folders = [manifest["base"]] * bool(manifest["base"]) + [b["folder"] for b in batches.values()]
+        rows = self.spark.read.schema(DELTA).parquet(*[f"{self.root}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], DELTA)
+        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
     def totals(self) -> DataFrame:
-        base, held = self._base(), self._in_base()
-        paths = [f"{self.root}/base/{base}"] * bool(base) + [f"{self.root}/deltas/{n}" for n in self._committed("deltas") if n not in held]
-        rows: Iterable[DataFrame] = [self.spark.read.schema(DELTA).parquet(p) for p in paths]
-        summed = self.spark.createDataFrame([], DELTA)
-        for r in rows:
-            summed = summed.union(r)
-        return summed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
-
-    def compact(self) -> None:
-        """A new base of all that is committed. Its names are written first, and it counts once its marker is there."""
-        names = sorted({*self._committed("deltas"), *self._in_base()})
-        version = f"{int(self._base() or 0) + 1:08d}"
-        self.spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/names/{version}")
-        self.totals().write.mode("overwrite").parquet(f"{self.root}/base/{version}")
-
-
-#: DuckDB SQL for the query over documents: each distinct text once, by its smallest id, counted by the second tokenizer.
-ORACLE = r"""
-WITH d AS (
-  SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[!-/:-@\[-`{-~]|[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS tokens,
-         min(doc_id) OVER (PARTITION BY md5(text)) AS first, text
-  FROM documents)
-SELECT source, lang, 'marks-and-runs/2' AS tokenizer, CAST(count(*) AS BIGINT) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens
-FROM d WHERE text IS NULL OR doc_id = first GROUP BY source, lang
-"""
+        _, manifest, batches = self._state()
+        return self._sum(manifest, batches)
+
+    def compact(self) -> bool:
+        """A new base of all that is committed; False if another compaction came first."""
+        version, manifest, batches = self._state()
+        self._settle(manifest)  # if the last compaction died before it did
+        base = f"base/{uuid.uuid4().hex}"
+        self._sum(manifest, batches).write.parquet(f"{self.root}/{base}")
+        retired = [b["folder"] for b in batches.values()] + [manifest["base"]] * bool(manifest["base"])
+        made = {"base": base, "names": sorted(batches), "retired": retired}
+        if not self._put(f"manifests/{version + 1:08d}", made):
+            self._drop(base)
+            return False
+        self._settle(made)
+        for folder in manifest["retired"]:
+            self._drop(folder)
+        if version:
+            self._drop(f"manifests/{version - 1:08d}")
+        return True
+
+    def _settle(self, manifest: dict) -> None:
+        """Moves the commits of a manifest's batches to done: known by name for ever, but listed no more."""
+        for name in manifest["names"]:
+            if batch := self._get(f"pending/{name}"):
+                self._put(f"done/{name}", batch)
+                self._drop(f"pending/{name}")
 
 
-def rolled_up(rollup: Rollup, counted: DataFrame) -> DataFrame:
-    """Totals after three batches over counted (doc_id, source, lang, copy, words, runs): all documents are inserted by
-    the first tokenizer, revised to the second, and those that copy a smaller id's text deleted. The second batch comes
-    twice and counts once."""
+def rolled_up(rollup: Rollup, counted: DataFrame, versions: tuple[str, str]) -> DataFrame:
+    """Totals after three batches over counted (doc_id, source, lang, copy, bytes, tokens): all documents are inserted by
+    the first tokenizer, that of bytes, revised to the second, and those that copy a smaller id's text deleted. The second
+    batch comes twice and counts once."""
 
     def version(rows: DataFrame, tokenizer: str, column: str) -> DataFrame:
         return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(column).alias("tokens"))
 
-    first, second = version(counted, "words/1", "words"), version(counted, "marks-and-runs/2", "runs")
+    first, second = version(counted, versions[0], "bytes"), version(counted, versions[1], "tokens")
     rollup.commit("1-insert", inserted(first))
     rollup.commit("2-revise", revised(first, second))
     rollup.commit("2-revise", revised(first, second))
     rollup.compact()
-    rollup.commit("3-delete", deleted(version(counted.where("copy"), "marks-and-runs/2", "runs")))
+    rollup.commit("3-delete", deleted(version(counted.where("copy"), versions[1], "tokens")))
     return rollup.totals()
 
 
-def counted_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, source, lang, text_id (a digest; null for a null text), words and runs of each document."""
-    return docs.select(F.col(id).alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.md5(F.col(text)).alias("text_id"), pattern_tokens(F.col(text), WORD).alias("words"), pattern_tokens(F.col(text), MARKS_AND_RUNS).alias("runs"))
+def counted_documents(docs: DataFrame, ranks_file: str, pattern: str, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
+    """doc_id, source, lang, text_id (a digest; null for a null text), bytes and tokens of each document."""
+    whole = F.col(f"`{text}`").cast("string")
+    own = docs.select(F.col(f"`{id}`").alias("doc_id"), *[F.col(f"`{c}`").cast("string").alias(n) for c, n in ((source, "source"), (lang, "lang"))], F.md5(whole).alias("text_id"), F.coalesce(F.octet_length(whole), F.lit(0)).cast("long").alias("bytes"), whole.alias("text"))
+    return rank_file_tokens(own, ranks_file, pattern, keep=("doc_id", "source", "lang", "text_id", "bytes"))
 
 
 def with_copies(counted: DataFrame) -> DataFrame:
-    """counted with copy: whether a smaller id has the same text."""
+    """counted with copy: whether a smaller id has the same text; of null ids with the same text none is a copy."""
     first = counted.where("text_id is not null").groupBy("text_id").agg(F.min("doc_id").alias("first"))
     return counted.join(first, "text_id", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
