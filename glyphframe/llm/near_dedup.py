@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components, joined_components
-from .runtime import Scratch, blocks, map_text, small
+from .runtime import Scratch, blocks, map_text, small, unclashed
 from .shingles import mix, shingle_sets
 
 COORDINATES = 128
@@ -73,7 +73,8 @@ def sketch_documents(docs: DataFrame, id: str, text: str) -> DataFrame:
             keys = mix(keys ^ rows[:, :, k], seed=k + 401)
         return {"n_shingles": np.diff(bounds), "s1": s1, "s2": s2, "bands": list(keys.view(np.int64))}
 
-    return map_text(docs.withColumnRenamed(id, "doc_id"), text, ["doc_id"], made, lambda: block)
+    own = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return map_text(own, "text", ["doc_id"], made, lambda: block)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -168,46 +169,52 @@ def links_between(xs: list[bytes], ys: list[bytes], x_groups: np.ndarray, y_grou
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, n_shingles, component_id and kept."""
+    """A row for each row of docs: doc_id, n_shingles, component_id and kept. Other columns of docs may have any name."""
     scratch = Scratch(docs.sparkSession)
     sketched = scratch.save(sketch_documents(docs, id, text))
     sets = sketched.read().where("n_shingles > 0 and doc_id is not null")
     owners = sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    of_text = scratch.save(sets.select("doc_id", "n_shingles", "s1", "s2").join(owners, ["s1", "s2"]).select("doc_id", "n_shingles", "s1", "s2", "rep"))
+    of_text = scratch.save(sets.select("doc_id", "n_shingles", "s1", "s2").join(owners, ["s1", "s2"]).select("doc_id", "n_shingles", "rep"))
     first = sets.join(owners.withColumnRenamed("rep", "doc_id"), ["s1", "s2", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"), "n_shingles")
     shared = first.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", "first")
     members = scratch.save(first.join(shared, "key").select("key", "first", "rep", "n_shingles").distinct())
+    rows = scratch.save(sketched.read().select("doc_id", "n_shingles"))
+    scratch.drop(sketched)
     stars = scratch.save(members.read().where("first < rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
 
-    named = small(scratch.save(members.read().select(F.col("rep").alias("id")).distinct()).read())
+    named = scratch.save(members.read().select(F.col("rep").alias("id")).distinct())
     # An id with several texts takes part with each of them.
-    texts = scratch.save(docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(named, "id", "left_semi").distinct())
+    texts = scratch.save(docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(small(named.read()), "id", "left_semi").distinct())
+    scratch.drop(named)
     links = scratch.save(verified(stars.read(), texts.read()))
     # Ids with several texts tie the classes of these together.
     tied = of_text.read().groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
     ties = scratch.save(of_text.read().join(tied, "doc_id").where("a < rep").select("a", F.col("rep").alias("b")).distinct())
-    edges = links.read().union(ties.read())
-    labels = components(scratch, edges)
-
-    placed = scratch.save(members.read().join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))).read()
-    mixed = scratch.save(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("key", "n")).read()
-    more = scratch.save(_within_small(placed, mixed.where(F.col("n") <= PAIRED), stars.read(), texts.read()).union(_within_large(scratch, placed, mixed.where(F.col("n") > PAIRED), texts.read())))
+    labels = components(scratch, links.read().union(ties.read()))
+    scratch.drop(links, ties)
+
+    placed = scratch.save(members.read().join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    scratch.drop(members)
+    mixed = scratch.save(placed.read().groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("key", "n")).read()
+    more = scratch.save(_within_small(placed.read(), mixed.where(F.col("n") <= PAIRED), stars.read(), texts.read()).union(_within_large(scratch, placed.read(), mixed.where(F.col("n") > PAIRED), texts.read())))
+    scratch.drop(placed, stars, texts)
     if more.read().limit(1).count():
         labels = joined_components(scratch, labels, more.read())
     label_of = labels.withColumnRenamed("node", "rep")
     component = of_text.read().select("doc_id", "rep").distinct().join(label_of, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    rows = sketched.read().select("doc_id", "n_shingles")
-    found = rows.join(component, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    found = rows.read().join(component, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component; of rows that repeat an id and a text, one."""
     found = Scratch(docs.sparkSession).save(near_duplicates(docs, id, text).select("doc_id", "kept")).read()
-    removed = found.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    stay = docs.join(small(removed), F.col(id) == F.col("__id"), "left_anti")
-    repeated = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
-    if not repeated.limit(1).count():
-        return stay
-    repeated = small(repeated)
-    return stay.join(repeated, F.col(id) == F.col("__id"), "left_anti").union(stay.join(repeated, F.col(id) == F.col("__id"), "left_semi").dropDuplicates([id, text]))
+    own, names = unclashed(docs)
+    removed = found.where("not kept").select(F.col("doc_id").alias("removed_id")).distinct()
+    stay = own.join(small(removed), F.col(names[id]) == F.col("removed_id"), "left_anti")
+    repeated = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("repeated_id")).count().where("count > 1").select("repeated_id")
+    if repeated.limit(1).count():
+        repeated = small(repeated)
+        again = F.col(names[id]) == F.col("repeated_id")
+        stay = stay.join(repeated, again, "left_anti").union(stay.join(repeated, again, "left_semi").dropDuplicates([names[id], names[text]]))
+    return stay.toDF(*docs.columns)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import WORD, Scratch, small
+from .runtime import WORD, Scratch, small, unclashed
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
@@ -50,8 +50,8 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_epoch
 
 def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs (whole copies), part (words of one more copy) and taken."""
-    size = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.select(F.col(id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.coalesce(F.md5(F.col(id).cast("string")), F.lit("")).alias("key"), F.xxhash64(F.col(text)).alias("tie"))
+    size = F.regexp_count(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), size.alias("size"), F.coalesce(F.md5(F.col(f"`{id}`").cast("string")), F.lit("")).alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("tie"))
     rows = Scratch(docs.sparkSession).save(rows.withColumn("bin", F.substring("key", 1, BIN_DIGITS))).read()  # so that texts are read once
     binned = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     of_source = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,10 +80,12 @@ def mixed_documents(docs: DataFrame, id: str = "doc_id", source: str = "source",
     decided = mix(docs, id, source, text, weights, most_epochs)
     copies = F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
     # Repeated ids share one decision, or the join would multiply them.
-    decided = decided.where("size > 0").select(F.col("doc_id").alias("__id"), copies.cast("int").alias("__copies")).groupBy("__id").agg(F.max("__copies").alias("__copies")).where("__copies > 0")
+    decided = decided.where("size > 0").select(F.col("doc_id").alias("mixed_id"), copies.cast("int").alias("copies")).groupBy("mixed_id").agg(F.max("copies").alias("copies")).where("copies > 0")
     decided = small(Scratch(docs.sparkSession).save(decided).read())
-    with_words = docs.where(F.col(text).rlike(r"[^\x20\x09-\x0D]"))
-    return with_words.join(decided, F.col(id).eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, names = unclashed(docs)
+    with_words = own.where(F.col(names[text]).rlike(r"[^\x20\x09-\x0D]"))
+    taken = with_words.join(decided, F.col(names[id]).eqNullSafe(F.col("mixed_id"))).select(*names.values(), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return taken.select(*names.values()).toDF(*docs.columns)
 
 
 def oracle(weights: tuple[float, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> str:
