@@ -106,7 +106,9 @@ def cache_key(stem: Column, rgb: Column, depth: Column) -> Column:
 
 
 def describe_clip(w: Column, h: Column, fps: Column, frames: Column, fmt: Column) -> Column:
-    return F.format_string("%dx%d @ %.3f fps, %d frames, %s (%d-bit)", w, h, fps, frames, fmt, bit_depth(fmt))
+    """A line about a clip; an unknown number of frames, null or 0, is a question mark."""
+    known = F.when(F.coalesce(frames, F.lit(0)) > 0, frames.cast("string")).otherwise("?")
+    return F.format_string("%dx%d @ %.3ffps, %s frames, %s (%d-bit)", w, h, fps, known, fmt, bit_depth(fmt))
 
 
 def timeline_is_current(version: Column) -> Column:
@@ -126,11 +128,22 @@ def frame_of_x(x: Column, n: Column, w: Column) -> Column:
 
 
 def taper(size: Column, edge: int) -> Column:
-    """Weights of one side of a tile: a ramp up over edge samples, ones, and a ramp down."""
-    ramp = lambda i: F.least((i + 1) / (edge + 1), F.lit(1.0))
+    """Weights of one side of a tile: a ramp up over edge samples, or half of them if these are fewer, ones, and a ramp down."""
+    steps = F.least(F.lit(edge), F.floor(size / 2))
+    ramp = lambda i: F.least((i + 1) / (steps + 1), F.lit(1.0))
     return F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.least(ramp(i), ramp(size - 1 - i)))
 
 
+#: The shares of red and green in grey, in parts of 2 ** 15; the rest is blue.
+RED, GREEN = 9798, 19235
+
+
+def gray(red: Column, green: Column, blue: Column) -> Column:
+    """The grey level of a pixel of three bytes, rounded."""
+    weighted = red.cast("int") * RED + green.cast("int") * GREEN + blue.cast("int") * ((1 << 15) - RED - GREEN)
+    return F.shiftright(weighted + (1 << 14), 15)
+
+
 def windows(extent: Column, tile: int, stride: int) -> Column:
     """Where tiles begin: every stride, the last one flush with the end."""
     regular = F.sequence(F.lit(0), F.greatest(extent - tile, F.lit(0)), F.lit(stride))

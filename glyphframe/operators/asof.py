@@ -11,7 +11,9 @@ def latest_at(left: DataFrame, right: DataFrame, at: str, frame: str, within: in
 
     Right rows lie in the bucket of their frame and in the next, so that one equality finds all that can match.
     """
+    names = {c: f"l{i}" for i, c in enumerate(left.columns)}  # so that no column can clash
+    own, asked = left.toDF(*names.values()), F.col(names[at])
     bucket = F.floor(F.col(frame) / within).cast("bigint")
-    spread = right.select(frame, F.explode(F.array(bucket, bucket + 1)).alias("__bucket"))
-    best = left.withColumn("__bucket", F.floor(F.col(at) / within).cast("bigint")).join(spread, "__bucket").where((F.col(frame) <= F.col(at)) & (F.col(frame) > F.col(at) - within))
-    return best.groupBy(*left.columns).agg(F.max(frame).alias(frame))
+    spread = right.select(F.col(frame).alias("r"), F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
+    best = own.withColumn("bucket", F.floor(asked / within).cast("bigint")).join(spread, "bucket").where((F.col("r") <= asked) & (F.col("r") > asked - within))
+    return best.groupBy(*names.values()).agg(F.max("r").alias("r")).toDF(*left.columns, frame)

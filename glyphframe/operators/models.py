@@ -17,8 +17,8 @@ POLYGON = "array<struct<x:double,y:double>>"
 
 
 def ramp(size: int, edge: int) -> np.ndarray:
-    """Weights of one side of a tile: up over edge samples, ones, and down again."""
-    up = (np.arange(size) + 1) / (edge + 1)
+    """Weights of one side of a tile: up over edge samples, or half of them if these are fewer, ones, and down again."""
+    up = (np.arange(size) + 1) / (min(edge, size // 2) + 1)
     return np.minimum(np.minimum(up, up[::-1]), 1.0)
 
 

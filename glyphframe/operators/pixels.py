@@ -88,16 +88,23 @@ def text_level(depth: np.ndarray, alpha: np.ndarray, cfg: CompositeConfig, top:
 
 
 def composite(depth: np.ndarray, prob: np.ndarray, boxes: list[Box], cfg: CompositeConfig = CompositeConfig(), top: int = 65535) -> np.ndarray:
-    """Glyphs painted on a depth plane: each box at a level of its own, read from the plane as it was; cut off, not rounded."""
+    """Glyphs painted on a depth plane: each box at a level of its own, read from the plane as it was; cut off, not rounded.
+
+    With heal they are painted on the plane without the ring around them, which the boxes bound.
+    """
     alpha = alpha_of(prob, cfg)
     if not alpha.any():
         return depth
-    base, out = depth.astype(float), depth.astype(float)
+    base = depth.astype(float)
+    if cfg.heal and cfg.heal_radius > 0:
+        base = heal(base, alpha, cfg.heal_radius, stack_masks(depth.shape[1], depth.shape[0], boxes) if boxes else None)
+    out = base.copy()
     for x0, y0, x1, y1 in boxes or [(0, 0, depth.shape[1], depth.shape[0])]:
         x0, y0, x1, y1 = max(0, x0), max(0, y0), max(0, x1), max(0, y1)
         own = (slice(y0, y1), slice(x0, x1))
         if base[own].size and alpha[own].any():
-            out[own] = base[own] * (1 - alpha[own]) + text_level(base[own], alpha[own], cfg, top) * alpha[own]
+            level = text_level(depth[own].astype(float), alpha[own], cfg, top)
+            out[own] = base[own] * (1 - alpha[own]) + level * alpha[own]
     return np.clip(out, 0, top).astype(np.int64)
 
 
@@ -205,6 +212,56 @@ def blend(base: Column, alpha: Column, value: Column) -> Column:
     return F.transform(F.arrays_zip(base.alias("b"), alpha.alias("a")), lambda p: F.floor(p["b"] * (1 - p["a"]) + value * p["a"]).cast("bigint"))
 
 
+def crop(plane: Column, w: int, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The samples of a plane of width w inside a box, in row order; none of an empty box."""
+    rows = F.transform(F.sequence(y0, y1 - 1), lambda y: F.slice(plane, (y * w + x0 + 1).cast("int"), (x1 - x0).cast("int")))
+    return F.when((x1 > x0) & (y1 > y0), F.flatten(rows)).otherwise(F.slice(plane, 1, 0))
+
+
+def near_strokes(mask: Column, h: int, w: int, radius: int, least: float = 0.5) -> Column:
+    """For each sample of a mask in row order whether a stroke lies under the element around it."""
+    offsets = F.array(*[F.struct(F.lit(int(dy)).alias("dy"), F.lit(int(dx)).alias("dx")) for dy, dx in disc(radius)])
+
+    def near(i: Column) -> Column:
+        y, x = F.floor(i / w), i % w
+        stroke = lambda o: (y + o["dy"]).between(0, h - 1) & (x + o["dx"]).between(0, w - 1) & (F.get(mask, ((y + o["dy"]) * w + x + o["dx"]).cast("int")) > least)
+        return F.exists(offsets, stroke)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), near)
+
+
+def glyph_difference(now: Column, was: Column, zone: Column) -> Column:
+    """Mean difference of two planes inside a zone, each less its own median there; without a zone over all samples."""
+    picked = lambda plane: F.filter(plane, lambda x, i: F.get(zone, i))
+    inside = lambda plane: F.when(F.exists(zone, lambda z: z), picked(plane)).otherwise(plane)
+
+    def median(values: Column) -> Column:
+        ordered, n = F.array_sort(values), F.size(values)
+        return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+
+    # Arrays of one element bind what holds for all samples, or it would be worked out for each.
+    both = F.array(F.struct(inside(now).alias("a"), inside(was).alias("b")))
+    levelled = F.transform(both, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), median(s["a"]).alias("ma"), median(s["b"]).alias("mb")))
+    apart = F.transform(levelled, lambda s: F.aggregate(F.zip_with(s["a"], s["b"], lambda x, y: F.abs((x - s["ma"]) - (y - s["mb"]))), F.lit(0.0), lambda t, v: t + v) / F.size(s["a"]))
+    return F.get(apart, F.lit(0))
+
+
+def shared_stretch(before: Column, after: Column) -> tuple[Column, Column]:
+    """Two planes as bytes, stretched over the range that both take together."""
+    low = F.least(F.array_min(before), F.array_min(after))
+    high = F.greatest(F.array_max(before), F.array_max(after))
+    shown = lambda plane: F.transform(plane, lambda p: F.floor(F.least(F.greatest((p - low) / F.greatest(high - low, F.lit(1.0)) * 255, F.lit(0.0)), F.lit(255.0))).cast("int"))
+    return shown(before), shown(after)
+
+
+def debug_panel(gray: Column, before: Column, prob: Column, after: Column, h: int, w: int) -> Column:
+    """Four planes side by side, as bytes in row order: picture, depth before, mask, depth after."""
+    first, last = shared_stretch(before, after)
+    mask = F.transform(prob, lambda p: F.floor(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)) * 255).cast("int"))
+    planes = (gray.cast("array<int>"), first, mask, last)
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(h - 1)), lambda y: F.concat(*[F.slice(p, y * w + 1, F.lit(w)) for p in planes])))
+
+
 def map_planes(planes: DataFrame, kernel: Callable[..., np.ndarray], columns: tuple[str, ...], out: str = "out") -> DataFrame:
     """planes with out: kernel(plane, columns of the row...) for each row, whose samples are in the first column, h and w."""
     schema = T.StructType([*planes.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from glyphframe.config import FrameSize, RegionConfig
 from glyphframe.functions import boxes
 
 Box = tuple[int, int, int, int]
+CORNERS = ("x0", "y0", "x1", "y1")
 REGIONS = "clip_id bigint, frame bigint, item_ord int, x0 bigint, y0 bigint, x1 bigint, y1 bigint, dets array<struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint>>, score double, run int"
 
 
@@ -39,6 +42,36 @@ def filter_detections(dets: DataFrame, cfg: RegionConfig = RegionConfig(), frame
     return filter_roi(filter_size(filter_tilt(dets, cfg), cfg), cfg, frame)
 
 
+def polygons(dt_polys: Column, polys: Column, boxes_: Column, dt_scores: Column, scores: Column) -> Column:
+    """An array of poly and score: the first list of polygons that a detector gave, null if none, and the first of scores.
+
+    Without as many scores as polygons all are 1. Polygons of fewer than three points go.
+    """
+    found = F.coalesce(dt_polys, polys, boxes_)
+    given = F.coalesce(dt_scores, scores)
+    sure = F.when(F.size(given) == F.size(found), given.cast("array<double>")).otherwise(F.transform(found, lambda p: F.lit(1.0)))
+    paired = F.zip_with(found, sure, lambda p, s: F.struct(p.alias("poly"), s.alias("score")))
+    return F.filter(paired, lambda d: F.size(d["poly"]) >= 3)
+
+
+def detections(frames: DataFrame, box: str = "boxes", poly: str = "polys", score: str | None = "scores") -> DataFrame:
+    """frames without these arrays but with det_ord, the box, poly and score, put together by place; a missing score is 1."""
+    scores = F.col(score).cast("array<double>") if score else F.lit(None).cast("array<double>")
+    zipped = F.transform(F.col(box), lambda b, i: F.struct(b.alias("box"), F.get(F.col(poly), i).alias("poly"), F.coalesce(F.get(scores, i), F.lit(1.0)).alias("score")))
+    rest = [c for c in frames.columns if c not in (box, poly, score)]
+    return frames.select(*rest, F.posexplode(zipped).alias("det_ord", "d")).select(*rest, "det_ord", "d.box.*", "d.poly", "d.score")
+
+
+def as_region(b: Column) -> Column:
+    """A bare box as a region's dets, score and run, beside its corners."""
+    return F.struct(*[b[c].alias(c) for c in CORNERS], F.array(b).alias("dets"), F.lit(1.0).alias("score"), F.lit(-1).alias("run"))
+
+
+def non_empty(rows: DataFrame) -> DataFrame:
+    """Rows whose box has an area."""
+    return rows.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+
+
 def near(a: Box, b: Box, gap: int) -> bool:
     return b[0] - gap <= a[2] and a[0] - gap <= b[2] and b[1] - gap <= a[3] and a[1] - gap <= b[3]
 
@@ -73,64 +106,67 @@ def snap(b: Box, cfg: RegionConfig, frame: FrameSize) -> Box:
     return max(0, (b[0] - cfg.pad) // g * g), max(0, (b[1] - cfg.pad) // g * g), min(frame.width, -((-b[2] - cfg.pad) // g) * g), min(frame.height, -((-b[3] - cfg.pad) // g) * g)
 
 
-def fold_frames(rows: DataFrame, order: str, fold: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
-    """fold(rows of one frame) for every (clip_id, frame), its rows as tuples in the order of a column.
+Item = tuple[int, Box, tuple[Box, ...], float, int]
+
 
-    The rows are dealt by frame and sorted, and then stream through Python: there is one shuffle, no group is set up on its
-    own, and of a frame that a batch ends in only the rows so far are held.
+def fold_frames(rows: DataFrame, order: str, fold: Callable[[list[Item]], list[Item]]) -> DataFrame:
+    """fold(items of one frame) for every (clip_id, frame): REGIONS, numbered in the order that fold gives.
+
+    rows have clip_id, frame, order, the box and score, and may have run and dets (else a box is its own detection). They
+    are dealt by frame and sorted, and then stream through Python in Arrow batches: there is one shuffle, no group is set up
+    on its own, and of a frame that a batch ends in only the rows so far are held.
     """
-    sorted_rows = rows.repartition("clip_id", "frame").sortWithinPartitions("clip_id", "frame", order)
-    names = [f.strip().split(" ")[0] for f in _fields(schema)]
+    given = [c for c in ("run", "dets") if c in rows.columns]
+    sorted_rows = rows.select("clip_id", "frame", order, *CORNERS, "score", *given).repartition("clip_id", "frame").sortWithinPartitions("clip_id", "frame", order)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
             out: list[tuple] = []
-            for row in batch.itertuples(index=False, name=None):
-                if row[:2] != key:
-                    out += [(*key, *r) for r in fold(held)] if held else []
-                    key, held = row[:2], []
-                held.append(row[2:])
+            scalars = zip(*[c.to_pylist() for c in batch.columns[: 8 + ("run" in given)]], strict=True)
+            dets = _boxes(batch.column(batch.num_columns - 1)) if "dets" in given else None
+            for n, (clip, frame, ordinal, x0, y0, x1, y1, score, *rest) in enumerate(scalars):
+                if (clip, frame) != key:
+                    if held:
+                        out += [(*key, k, *item[1:]) for k, item in enumerate(fold(held))]
+                    key, held = (clip, frame), []
+                box = (x0, y0, x1, y1)
+                held.append((ordinal, box, dets[n] if dets else (box,), score, rest[0] if rest else -1))
             if out:
-                yield pd.DataFrame(out, columns=names)
+                yield _region_batch(out)
         if held:
-            yield pd.DataFrame([(*key, *r) for r in fold(held)], columns=names)
+            yield _region_batch([(*key, k, *item[1:]) for k, item in enumerate(fold(held))])
 
-    return sorted_rows.mapInPandas(run, schema)
+    return sorted_rows.mapInArrow(run, REGIONS)
 
 
-def _fields(schema: str) -> list[str]:
-    """The fields of a DDL string, cut at commas outside angle brackets."""
-    fields, depth = [""], 0
-    for c in schema:
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            fields.append("")
-        else:
-            fields[-1] += c
-    return fields
+def _boxes(column: pa.ListArray) -> list[tuple[Box, ...]]:
+    """The boxes of each list of structs."""
+    inner = column.flatten()
+    flat = list(zip(*[inner.field(c).to_pylist() for c in CORNERS], strict=True))
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+    return [tuple(flat[a:z]) for a, z in zip([0, *ends], ends, strict=False)]
 
 
-def _as_rows(merged: list[tuple]) -> list[tuple]:
-    return [(n, *b, [dict(zip(("x0", "y0", "x1", "y1"), d, strict=True)) for d in dets], score, run) for n, (_, b, dets, score, run) in enumerate(merged)]
+def _region_batch(rows: list[tuple]) -> pa.RecordBatch:
+    clips, frames, places, boxes_, dets, scores, runs = zip(*rows, strict=True)
+    flat = [b for d in dets for b in d]
+    corners = pa.StructArray.from_arrays([pa.array([b[k] for b in flat], pa.int64()) for k in range(4)], names=CORNERS)
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, dets)]), pa.int32()), corners)
+    columns = [pa.array(clips, pa.int64()), pa.array(frames, pa.int64()), pa.array(places, pa.int32()), *[pa.array([b[k] for b in boxes_], pa.int64()) for k in range(4)], lists, pa.array(scores, pa.float64()), pa.array(runs, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=["clip_id", "frame", "item_ord", *CORNERS, "dets", "score", "run"])
 
 
 def merge_regions(regions: DataFrame, gap: int) -> DataFrame:
     """Regions of each frame merged to a fixpoint of growing boxes; they are numbered by their first member's place."""
-
-    def fold(rows: list[tuple]) -> list[tuple]:
-        items = [(o, (x0, y0, x1, y1), tuple(tuple(d[k] for k in ("x0", "y0", "x1", "y1")) for d in dets), s, r) for o, x0, y0, x1, y1, dets, s, r in rows]
-        return _as_rows(merge(items, gap))
-
-    return fold_frames(regions.select("clip_id", "frame", "item_ord", "x0", "y0", "x1", "y1", "dets", "score", "run"), "item_ord", fold, REGIONS)
+    return fold_frames(regions.select("clip_id", "frame", "item_ord", *CORNERS, "dets", "score", "run"), "item_ord", lambda items: merge(items, gap))
 
 
 def frame_regions(dets: DataFrame, cfg: RegionConfig = RegionConfig(), frame: FrameSize = FrameSize()) -> DataFrame:
     """Detections that pass the filters, merged to lines, snapped to the grid, and merged again where they then touch."""
 
-    def fold(rows: list[tuple]) -> list[tuple]:
-        items = [(o, (x0, y0, x1, y1), ((x0, y0, x1, y1),), s, -1) for o, x0, y0, x1, y1, s in rows]
+    def fold(items: list[Item]) -> list[Item]:
         lines = merge(items, cfg.merge_gap)
-        return _as_rows(merge([(n, snap(b, cfg, frame), d, s, r) for n, (_, b, d, s, r) in enumerate(lines)], 0))
+        return merge([(n, snap(b, cfg, frame), d, s, r) for n, (_, b, d, s, r) in enumerate(lines)], 0)
 
-    return fold_frames(filter_detections(dets, cfg, frame).select("clip_id", "frame", "det_ord", "x0", "y0", "x1", "y1", "score"), "det_ord", fold, REGIONS)
+    return fold_frames(filter_detections(dets, cfg, frame), "det_ord", fold)

@@ -116,17 +116,45 @@ def lane_pack(spans: DataFrame) -> DataFrame:
     return spans.select("clip_id", "run", "start", "end").groupBy("clip_id").applyInPandas(pack, "clip_id bigint, run int, start bigint, end bigint, lane int")
 
 
-def documents(regions: DataFrame, spine: DataFrame, excluded: tuple[int, ...] = ()) -> DataFrame:
-    """clip_id and document: one JSON document a clip, a list of regions for every frame; scores have four decimals."""
+def documents(regions: DataFrame, spine: DataFrame, excluded: tuple[int, ...] | DataFrame = (), raw: DataFrame | None = None, min_track: int | None = None, recognised: DataFrame | None = None) -> DataFrame:
+    """clip_id and document: one JSON document a clip, a list of regions for every frame; scores have four decimals.
+
+    excluded: runs of all clips, or rows of clip_id and run. raw: the regions before smoothing, whose frames are counted.
+    recognised: rows of clip_id and verdict, a text for each reading.
+    """
     as_list = lambda b: F.array(*[b[k] for k in ("x0", "y0", "x1", "y1")])
     entry = lambda r: F.struct(as_list(r).alias("box"), F.transform(r["dets"], as_list).alias("dets"), F.round(r["score"], 4).alias("score"), r["run"].alias("run"))
     frames = lookup(spine, regions).select("clip_id", "frame", F.transform("regions", entry).alias("entries"))
     listed = frames.groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "entries"))), lambda f: f["entries"]).alias("regions"))
+    if isinstance(excluded, DataFrame):
+        marks = excluded.groupBy("clip_id").agg(F.array_sort(F.collect_set(F.col("run").cast("int"))).alias("excluded"))
+        listed = listed.join(marks, "clip_id", "left").withColumn("excluded", F.coalesce("excluded", F.array().cast("array<int>")))
+    else:
+        listed = listed.withColumn("excluded", F.array(*map(F.lit, sorted(set(excluded)))).cast("array<int>"))
+    seen = (raw if raw is not None else regions).groupBy("clip_id").agg(F.countDistinct("frame").cast("int").alias("raw_text_frames"))
+    listed = listed.join(seen, "clip_id", "left")
+    said = F.array().cast("array<string>")
+    if recognised is not None:
+        listed = listed.join(recognised.groupBy("clip_id").agg(F.array_sort(F.collect_list("verdict")).alias("recognised")), "clip_id", "left")
+        said = F.coalesce("recognised", said)
     n_text = F.size(F.filter("regions", lambda r: F.size(r) > 0))
-    document = F.struct(F.lit(VERSION).alias("version"), F.size("regions").alias("n_frames"), n_text.alias("text_frames"), F.array(*map(F.lit, sorted(set(excluded)))).cast("array<int>").alias("excluded"), F.col("regions"))
+    document = F.struct(
+        F.lit(VERSION).alias("version"), F.size("regions").alias("n_frames"), F.coalesce("raw_text_frames", F.lit(0)).alias("raw_text_frames"), n_text.alias("text_frames"),
+        F.lit(min_track).cast("int").alias("min_track"), said.alias("recognised"), F.col("excluded"), F.col("regions"),
+    )
     return listed.select("clip_id", F.to_json(document).alias("document"))
 
 
+def document_states(docs: DataFrame) -> DataFrame:
+    """clip_id, version, excluded (empty unless the document is current) and note: why a document isn't read, or null."""
+    parsed = docs.select("clip_id", F.from_json("document", "struct<version:int,regions:array<string>,excluded:array<int>>").alias("d"))
+    unreadable = F.col("d").isNull() | F.col("d.regions").isNull()
+    current = F.coalesce("d.version", F.lit(0)) == VERSION
+    note = F.when(unreadable, "the document can't be read: detect again").when(~current, "the document is of another version: detect again")
+    none = F.array().cast("array<int>")
+    return parsed.select("clip_id", F.coalesce("d.version", F.lit(0)).alias("version"), F.when(note.isNull(), F.coalesce("d.excluded", none)).otherwise(none).alias("excluded"), note.alias("note"))
+
+
 def read_documents(docs: DataFrame) -> DataFrame:
     """Regions of documents of the current version; others, and what can't be read, give none.
 

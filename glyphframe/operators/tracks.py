@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +22,10 @@ BOX_TYPE = "struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint>"
 
 
 def islands(regions: DataFrame, horizon: int = 12) -> DataFrame:
-    """clip_id, frame, island for each frame with regions; a new island begins after more than horizon frames."""
-    frames = regions.select("clip_id", "frame").distinct()
-    by_frame = Window.partitionBy("clip_id").orderBy("frame")
+    """regions with island; a new island of a clip begins where no region lies within horizon frames before."""
+    by_frame = Window.partitionBy("clip_id").orderBy("frame", "item_ord")
     begins = F.when(F.col("frame") - F.lag("frame").over(by_frame) > horizon, 1).otherwise(0)
-    return frames.withColumn("begins", begins).withColumn("island", F.sum("begins").over(by_frame.rowsBetween(Window.unboundedPreceding, 0))).select("clip_id", "frame", "island")
+    return regions.withColumn("begins", begins).withColumn("island", F.sum("begins").over(by_frame.rowsBetween(Window.unboundedPreceding, 0))).drop("begins")
 
 
 def shared(a: Box, b: Box) -> float:
@@ -47,59 +46,61 @@ class Linker:
     def __init__(self, least: float, horizon: int, sticky: float):
         self.least, self.horizon, self.sticky = least, horizon, sticky
         self.open: list[list] = []  # [first frame, first ordinal, last frame, last box, run's union, run]
-
-    def frame(self, frame: int, items: list[tuple[int, Box]]) -> Iterator[tuple[int, int, int]]:
-        """For each (ordinal, box): first frame and ordinal of its track, and the number of its sticky run."""
-        self.open = [t for t in self.open if frame - t[2] <= self.horizon]
-        begun = []
-        for ordinal, box in items:
-            most, best = self.least, None
-            for track in self.open:
-                if (share := shared(track[3], box)) > most:
-                    most, best = share, track
-            if best is None or best[2] == frame:
-                begun.append([frame, ordinal, frame, box, box, 0])
-                best = begun[-1]
-            else:
-                stays = shared(best[4], box) >= self.sticky
-                best[2:] = [frame, box, hull(best[4], box) if stays else box, best[5] + (not stays)]
-            yield best[0], best[1], best[5]
-        self.open += begun
+        self.begun: list[list] = []
+        self.now: int | None = None
+
+    def begin(self, frame: int) -> None:
+        self.open = [t for t in (*self.open, *self.begun) if frame - t[2] <= self.horizon]
+        self.begun, self.now = [], frame
+
+    def link(self, ordinal: int, box: Box) -> tuple[int, int, int]:
+        """For the next region of the frame: first frame and ordinal of its track, and the number of its sticky run."""
+        most, best = self.least, None
+        for track in self.open:
+            if (share := shared(track[3], box)) > most:
+                most, best = share, track
+        if best is None or best[2] == self.now:
+            best = [self.now, ordinal, self.now, box, box, 0]
+            self.begun.append(best)
+        else:
+            stays = shared(best[4], box) >= self.sticky
+            best[2:] = [self.now, box, hull(best[4], box) if stays else box, best[5] + (not stays)]
+        return best[0], best[1], best[5]
+
+    def frame(self, frame: int, items: list[tuple[int, Box]]) -> list[tuple[int, int, int]]:
+        """The links of all (ordinal, box) of a frame, whose tracks are open from now on."""
+        self.begin(frame)
+        links = [self.link(ordinal, box) for ordinal, box in items]
+        self.open, self.begun = self.open + self.begun, []
+        return links
 
 
 LINKED = "clip_id bigint, frame bigint, item_ord int, x0 bigint, y0 bigint, x1 bigint, y1 bigint, dets array<" + BOX_TYPE + ">, score double, first_frame bigint, first_ord int, sticky int"
 
 
 def build_tracks(regions: DataFrame, cfg: RegionConfig = RegionConfig()) -> DataFrame:
-    """Regions with first_frame and first_ord, which name their track within a clip, and sticky, their run within it."""
-    rows = regions.join(islands(regions, cfg.link_horizon), ["clip_id", "frame"]).select("clip_id", "island", "frame", "item_ord", "x0", "y0", "x1", "y1", "dets", "score")
-    dealt = rows.repartition("clip_id", "island").sortWithinPartitions("clip_id", "island", "frame", "item_ord")
+    """Regions with first_frame and first_ord, which name their track within a clip, and sticky, their run within it.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        island, frame, items, linker = None, None, [], None
-
-        def flush() -> list[tuple]:
-            linked = linker.frame(frame, [(r[3], r[4:8]) for r in items]) if items else ()
-            return [(r[0], *r[2:], *link) for r, link in zip(items, linked, strict=True)]
+    Islands are dealt to tasks and stream through the linker in Arrow batches; dets and scores pass by untouched.
+    """
+    rows = islands(regions, cfg.link_horizon).select("island", "clip_id", "frame", "item_ord", "x0", "y0", "x1", "y1", "dets", "score")
+    dealt = rows.repartition("clip_id", "island").sortWithinPartitions("clip_id", "island", "frame", "item_ord")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        island, linker = None, Linker(cfg.link_iou, cfg.link_horizon, cfg.sticky_iou)
         for batch in batches:
-            out: list[tuple] = []
-            for row in batch.itertuples(index=False, name=None):
-                if row[:3] != (island, frame) and (row[:2], row[2]) != (island, frame):
-                    out += flush()
-                    if row[:2] != island:
-                        island, linker = row[:2], Linker(cfg.link_iou, cfg.link_horizon, cfg.sticky_iou)
-                    frame, items = row[2], []
-                items.append(row)
-            if out:
-                yield pd.DataFrame(out, columns=NAMES)
-        if items:
-            yield pd.DataFrame(flush(), columns=NAMES)
-
-    return dealt.mapInPandas(run, LINKED)
-
+            links = []
+            for part, clip, frame, ordinal, *box in zip(*[c.to_pylist() for c in batch.columns[:8]], strict=True):
+                if (clip, part) != island:
+                    island, linker = (clip, part), Linker(cfg.link_iou, cfg.link_horizon, cfg.sticky_iou)
+                if frame != linker.now:
+                    linker.begin(frame)
+                links.append(linker.link(ordinal, tuple(box)))
+            made = zip(*links, strict=True) if links else ((), (), ())
+            arrays = [pa.array(values, kind) for values, kind in zip(made, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *arrays], names=[*batch.schema.names[1:], "first_frame", "first_ord", "sticky"])
 
-NAMES = ["clip_id", "frame", "item_ord", "x0", "y0", "x1", "y1", "dets", "score", "first_frame", "first_ord", "sticky"]
+    return dealt.mapInArrow(run, LINKED)
 
 
 def frame_delta(tracked: DataFrame) -> DataFrame:
@@ -160,14 +161,30 @@ def smooth_timeline(regions: DataFrame, cfg: RegionConfig = RegionConfig(), min_
     """The timeline: regions of the surviving tracks, numbered by run, still and without short holes."""
     least = min_track if min_track is not None else cfg.min_track if cfg.min_track is not None else 2
     tracked = build_tracks(regions, cfg)
-    runs = surviving_tracks(track_stats(tracked), cfg, least, track_filter).select(*TRACK, "run")
-    kept = bridge_gaps(canonical_boxes(tracked.join(runs, list(TRACK))), cfg.max_gap)
+    if track_filter is not None:
+        runs = surviving_tracks(track_stats(tracked), cfg, least, track_filter).select(*TRACK, "run")
+        kept = tracked.join(runs, list(TRACK))
+    else:
+        kept = _numbered(tracked, cfg, least)
+    held = bridge_gaps(canonical_boxes(kept), cfg.max_gap)
     by_run = Window.partitionBy("clip_id", "frame").orderBy("run")
-    ordered = kept.withColumn("item_ord", (F.row_number().over(by_run) - 1).cast("int"))
-    # Only frames in which boxes of two runs have come to touch have anything to merge.
-    several = ordered.withColumn("n", F.count("*").over(Window.partitionBy("clip_id", "frame")))
-    columns = ["clip_id", "frame", "item_ord", "x0", "y0", "x1", "y1", "dets", "score", "run"]
-    return several.where("n = 1").select(*columns).union(merge_regions(several.where("n > 1"), 0).select(*columns))
+    ordered = held.withColumn("item_ord", (F.row_number().over(by_run) - 1).cast("int"))
+    return merge_regions(ordered, 0).select("clip_id", "frame", "item_ord", "x0", "y0", "x1", "y1", "dets", "score", "run")
+
+
+def _numbered(tracked: DataFrame, cfg: RegionConfig, min_track: int) -> DataFrame:
+    """What a join with surviving_tracks() gives, without a second pass over the linker's input: a track's figures come
+    from windows over its own rows, and tracks are numbered by rank."""
+    of_track = Window.partitionBy(*TRACK)
+    rows = frame_delta(tracked).withColumn("span", F.count("*").over(of_track)).where(F.col("span") >= min_track)
+    if cfg.track_score:
+        rows = rows.withColumn("peak", F.coalesce(F.max("score").over(of_track), F.lit(0.0))).where(F.col("peak") >= cfg.track_score)
+    if cfg.max_motion is not None:
+        height = F.median((F.col("y1") - F.col("y0")).cast("double")).over(of_track)
+        rows = rows.withColumn("median_step", F.median("step").over(of_track)).withColumn("height", height)
+        rows = rows.where((F.col("span") < 2) | (F.col("height") <= 0) | (F.col("median_step") / F.col("height") <= cfg.max_motion))
+    run = F.dense_rank().over(Window.partitionBy("clip_id").orderBy("first_frame", "first_ord"))
+    return rows.withColumn("run", (run - 1).cast("int")).select(*tracked.columns, "run")
 
 
 def timeline(dets: DataFrame, cfg: RegionConfig = RegionConfig(), frame: FrameSize = FrameSize(), track_filter: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -177,6 +194,11 @@ def timeline(dets: DataFrame, cfg: RegionConfig = RegionConfig(), frame: FrameSi
     return smooth_timeline(frame_regions(dets, cfg, frame), cfg, resolve_min_track(cfg, frame.fps), track_filter)
 
 
+def best_readings(recognitions: DataFrame, by: list[str]) -> DataFrame:
+    """by, and best (text, score): the surest reading of each track's crops, the first of equals."""
+    return recognitions.groupBy(*by).agg(F.max_by(F.struct("text", "score"), F.struct("score", -F.col("det_ord"), "text")).alias("best"))
+
+
 def recognised(tracks: DataFrame, recognitions: DataFrame, cfg: RegionConfig = RegionConfig()) -> DataFrame:
     """Tracks whose best reading, at their best frame, is long and sure enough; those without a reading stay.
 
@@ -184,7 +206,7 @@ def recognised(tracks: DataFrame, recognitions: DataFrame, cfg: RegionConfig = R
     """
     if not cfg.rec_score:
         return tracks
-    best = recognitions.groupBy(*TRACK).agg(F.max_by(F.struct("text", "score"), F.struct("score", -F.col("det_ord"))).alias("best"))
+    best = best_readings(recognitions, list(TRACK))
     legible = (F.length(F.trim(F.col("best.text"))) >= cfg.rec_min_chars) & (F.col("best.score") >= cfg.rec_score)
     return tracks.join(best, list(TRACK), "left").where(F.col("best").isNull() | legible).drop("best")
 

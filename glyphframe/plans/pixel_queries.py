@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphframe.config import CompositeConfig
 from glyphframe.functions import media
-from glyphframe.operators import pixels
+from glyphframe.operators import clips, masks, pixels
 from glyphframe.plans.registry import query, table
 
 CELLS = "cells AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) * 10 AS logit, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), p AS (SELECT *, 1 / (1 + exp(-least(greatest(logit, -30), 30))) AS prob FROM cells), a AS (SELECT *, least(greatest((prob - 0.35::DOUBLE) / (0.65::DOUBLE - 0.35::DOUBLE), 0), 1) AS alpha FROM p)"
@@ -61,15 +61,13 @@ def s15(spark, sf_dir):
 
 @query("a12_mask_strength", f"WITH {CELLS} SELECT vec_id, CAST(count_if(prob > 0.5) AS BIGINT) AS n FROM p GROUP BY 1")
 def a12(spark, sf_dir):
-    return probs(spark, sf_dir).select("vec_id", F.size(F.filter("prob", lambda p: p > 0.5)).cast("bigint").alias("n"))
+    return probs(spark, sf_dir).select("vec_id", masks.strength(F.col("prob")).alias("n"))
 
 
 @query("a13_best_run_mask", f"WITH {CELLS}, s AS (SELECT vec_id, count_if(prob > 0.5) AS n FROM p GROUP BY 1) SELECT vec_id // 10 AS run, arg_max(vec_id, n * 1000000 - vec_id) AS best FROM s WHERE vec_id % 10 % 2 = 0 GROUP BY 1")
 def a13(spark, sf_dir):
     """Ten vectors are a run, every second of them a sample; the strongest wins, the first of equals."""
-    strength = F.size(F.filter("prob", lambda p: p > 0.5))
-    rows = probs(spark, sf_dir).where("vec_id % 10 % 2 = 0").select(F.expr("vec_id div 10").alias("run"), "vec_id", strength.alias("n"))
-    return rows.groupBy("run").agg(F.max_by("vec_id", F.struct("n", -F.col("vec_id"))).alias("best"))
+    return masks.best_of_runs(probs(spark, sf_dir).where("vec_id % 10 % 2 = 0").withColumn("run", F.expr("vec_id div 10")), ["run"], frame="vec_id")
 
 
 @query("a09_prob_union", f"WITH {CELLS} SELECT g, CAST(i AS INT) AS i, round(max(prob), 9) AS prob FROM (SELECT vec_id // 4 AS g, i, prob FROM p) GROUP BY 1, 2")
@@ -114,7 +112,7 @@ def s07(spark, sf_dir):
 
 @query("k01_crop", "SELECT vec_id, round(list_sum(list_transform(list_filter(range(1, 65), lambda i: (i - 1) // 8 BETWEEN 2 AND 5 AND (i - 1) % 8 BETWEEN 1 AND 3), lambda i: CAST(embedding[i] AS DOUBLE))), 6) AS total FROM embeddings")
 def k01(spark, sf_dir):
-    rows = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(5)), lambda y: F.slice("embedding", y * 8 + 2, F.lit(3))))
+    rows = pixels.crop(F.col("embedding"), 8, F.lit(1), F.lit(2), F.lit(4), F.lit(6))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(rows, F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
 
 
@@ -126,12 +124,21 @@ def k06(spark, sf_dir):
     return alphas(spark, sf_dir).select("vec_id", F.aggregate(out, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
-@query("k12_glyph_diff", "SELECT a.vec_id, round(list_avg(list_transform(list_zip(a.embedding, b.embedding), lambda p: abs(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))), 6) AS diff FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+GLYPHS = """WITH c AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+z AS (SELECT DISTINCT vec_id, (i // 8 + dy) * 8 + i % 8 + dx AS i FROM c, (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) o(dy, dx) WHERE x > 0.2 AND i // 8 + dy BETWEEN 0 AND 7 AND i % 8 + dx BETWEEN 0 AND 7),
+s AS (SELECT a.vec_id, a.x AS now, b.x AS was FROM c a JOIN c b ON b.vec_id = a.vec_id + 1 AND b.i = a.i
+      WHERE (a.vec_id, a.i) IN (SELECT (vec_id, i) FROM z) OR a.vec_id NOT IN (SELECT vec_id FROM z)),
+m AS (SELECT vec_id, median(now) AS mn, median(was) AS mw FROM s GROUP BY vec_id)
+SELECT s.vec_id, round(avg(abs((now - mn) - (was - mw))), 6) AS diff FROM s JOIN m USING (vec_id) GROUP BY s.vec_id"""
+
+
+@query("k12_glyph_diff", GLYPHS)
 def k12(spark, sf_dir):
-    a = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"))
+    """A plane and the next, compared at the strokes of the first and a pixel around them."""
+    a = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
-    total = F.aggregate(F.zip_with("x", "y", lambda p, q: F.abs(p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    return a.join(b, "vec_id").select("vec_id", F.round(total / F.size("x"), 6).alias("diff"))
+    both = a.join(b, "vec_id").withColumn("zone", pixels.near_strokes(F.col("x"), 8, 8, 1, 0.2))
+    return both.select("vec_id", F.round(pixels.glyph_difference(F.col("x"), F.col("y"), F.col("zone")), 6).alias("diff"))
 
 
 @query("k07_stack_region_masks", "SELECT p_partkey, CAST((least(p_size, 40) * 10 + 50 - (CASE WHEN p_size > 30 THEN (least(p_size, 40) - 30) * 5 ELSE 0 END)) AS BIGINT) AS n FROM part")
@@ -153,35 +160,42 @@ def a16(spark, sf_dir):
     """Bars of three rows above and two below, around every vector as a picture; the middle of all frames counts."""
     rows = table(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda x: F.abs(x.cast("double")) * 100 + 7).alias("x"))
     dark = lambda n: F.array_repeat(F.lit(0.0), n * 8)
-    framed = rows.select(F.concat(dark(3), "x", dark(2)).alias("plane"))
-    peaks = framed.select(F.transform(F.sequence(F.lit(0), F.lit(12)), lambda y: F.array_max(F.slice("plane", y * 8 + 1, F.lit(8))) > 6).alias("lit"))
-    top = F.array_position("lit", True) - 1
-    bottom = F.array_position(F.reverse("lit"), True) - 1
-    return peaks.where(F.array_contains("lit", True)).agg(F.median(top).cast("int").alias("top"), F.median(bottom).cast("int").alias("bottom"))
+    framed = rows.select(F.concat(dark(3), "x", dark(2)).alias("plane")).unionByName(rows.limit(3).select(dark(13).alias("plane")))
+    return clips.bar_extent(framed.select(clips.bars(F.col("plane"), 13, 8).alias("bars"))).select(F.col("first").alias("top"), F.col("last").alias("bottom"))
 
 
 @query("a17_detect_alignment", "SELECT p_partkey, CASE WHEN abs(r - 4 / 3.0::DOUBLE) / r <= 0.01 THEN 'stretch' WHEN e >= 2 AND abs(p_partkey % 200 - e) <= greatest(2, 0.15::DOUBLE * e) THEN 'fit' ELSE 'stretch' END AS mode FROM (SELECT p_partkey, r, greatest((768 - least(1024 / (1080 * r), 768 / 1080.0::DOUBLE) * 1080) / 2, (1024 - least(1024 / (1080 * r), 768 / 1080.0::DOUBLE) * 1080 * r) / 2) AS e FROM (SELECT p_partkey, 1 + p_size / 50.0::DOUBLE AS r FROM part))")
 def a17(spark, sf_dir):
     """The picture's shape comes from the size, the bars that are measured from the key."""
-    r = 1 + F.col("p_size") / 50.0
-    k = F.least(1024 / (1080 * r), F.lit(768 / 1080))
-    expected = F.greatest((768 - k * 1080) / 2, (1024 - k * 1080 * r) / 2)
+    wide = 1080 * (1 + F.col("p_size") / 50.0)
     measured = F.col("p_partkey") % 200
-    fits = (expected >= 2) & (F.abs(measured - expected) <= F.greatest(F.lit(2.0), 0.15 * expected))
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(F.abs(r - 4 / 3) / r <= 0.01, "stretch").when(fits, "fit").otherwise("stretch").alias("mode"))
+    mode = clips.alignment_mode(wide, F.lit(1080.0), F.lit(1024.0), F.lit(768.0), measured, measured)
+    return table(spark, sf_dir, "part").select("p_partkey", mode["mode"].alias("mode"))
 
 
-def _kernel(name, kernel):
-    @query(name)
+def _kernel(name, kernel, oracle=None):
+    @query(name, oracle)
     def run(spark, sf_dir):
         return pixels.map_planes(planes(spark, sf_dir), kernel, ("prob",)).select("vec_id", F.round(F.aggregate("out", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
     return run
 
 
-_kernel("k02_warp", lambda p: pixels.warp(p, 2.0, 2.0, 0.5, 0.5, 16, 16))
-_kernel("k03_grow", lambda p: pixels.grow(p, 0.7))
-_kernel("k04_feather", lambda p: pixels.feather(p, 0.7))
+#: Each of 16 x 16 pixels lies at (y - 0.5) / 2, (x - 0.5) / 2 of the plane, between four samples that may lie outside.
+WARPED = f"""WITH {CELLS}, o AS (SELECT (y - 0.5::DOUBLE) / 2 AS y, (x - 0.5::DOUBLE) / 2 AS x FROM range(16) a(y), range(16) b(x)),
+n AS (SELECT floor(y) + dy AS cy, floor(x) + dx AS cx, (CASE dy WHEN 0 THEN 1 - (y - floor(y)) ELSE y - floor(y) END) * (CASE dx WHEN 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END) AS wt FROM o, range(2) c(dy), range(2) d(dx))
+SELECT vec_id, round(sum(prob * wt), 6) AS total FROM p JOIN n ON i = cy * 8 + cx AND cy BETWEEN 0 AND 7 AND cx BETWEEN 0 AND 7 GROUP BY vec_id"""
+#: 0.3 of the plane itself, and 0.7 of the greatest of a sample and the four beside it.
+GROWN = f"""WITH {CELLS}, g AS (SELECT a.vec_id, a.i, max(b.prob) AS most FROM p a JOIN p b ON a.vec_id = b.vec_id AND abs(a.i // 8 - b.i // 8) + abs(a.i % 8 - b.i % 8) <= 1 GROUP BY ALL)
+SELECT vec_id, round(sum(0.3::DOUBLE * prob + 0.7::DOUBLE * most), 6) AS total FROM p JOIN g USING (vec_id, i) GROUP BY vec_id"""
+#: Five weights along either axis, mirrored at the edges without repeating them: each sample counts as often as it is hit.
+BLURRED = f"""WITH {CELLS}, k AS (SELECT d, exp(-0.5 * power(d / 0.7::DOUBLE, 2)) AS w FROM range(-2, 3) r(d)), n AS (SELECT d, w / (SELECT sum(w) FROM k) AS w FROM k),
+t AS (SELECT CASE WHEN c + d < 0 THEN -c - d WHEN c + d > 7 THEN 14 - c - d ELSE c + d END AS at, sum(w) AS w FROM range(8) r(c), n GROUP BY 1)
+SELECT vec_id, round(sum(prob * a.w * b.w), 6) AS total FROM p JOIN t a ON a.at = i // 8 JOIN t b ON b.at = i % 8 GROUP BY vec_id"""
+
+_kernel("k02_warp", lambda p: pixels.warp(p, 2.0, 2.0, 0.5, 0.5, 16, 16), WARPED)
+_kernel("k03_grow", lambda p: pixels.grow(p, 0.7), GROWN)
+_kernel("k04_feather", lambda p: pixels.feather(p, 0.7), BLURRED)
 _kernel("k05_heal_halo", lambda p: pixels.heal(p * 1000, np.pad(np.ones((2, 2)), 3), 1))
 _kernel("k08_gate", lambda p: pixels.gate(p, (0, 0, 8, 8), [(0, 0, 4, 8)], dilate=1))
 _kernel("a19_component_stats", lambda p: pixels.labels(p > 0.5))
@@ -196,18 +210,62 @@ def _crops(spark, sf_dir):
     return rows.withColumn("mask", F.transform("gray", lambda g: (g > 0).cast("double")))
 
 
-@query("t02_mask_cache_state")
+#: Crops in order, ten to a clip, box by box: a crop is held against the last that wasn't found, in whose zone both are
+#: levelled by their medians. No record is ever out of use for long enough to go.
+FOUND = """WITH RECURSIVE c AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, round_even(CAST(unnest(embedding) AS DOUBLE) * 4, 0) AS x FROM embeddings),
+z0 AS (SELECT DISTINCT c.vec_id, n.i FROM c JOIN (SELECT DISTINCT i FROM c) n ON (c.i // 8 - n.i // 8) BETWEEN -4 AND 4 AND abs(c.i % 8 - n.i % 8) <= round_even(sqrt(16 - power(c.i // 8 - n.i // 8, 2)), 0) WHERE c.x > 0),
+z AS (SELECT * FROM z0 UNION ALL SELECT vec_id, i FROM c WHERE vec_id NOT IN (SELECT vec_id FROM z0)),
+s AS MATERIALIZED (SELECT a.vec_id AS was, b.vec_id AS now, a.x AS old, b.x AS new FROM c a JOIN z ON z.vec_id = a.vec_id AND z.i = a.i JOIN c b ON b.i = a.i AND b.vec_id > a.vec_id AND b.vec_id // 10 = a.vec_id // 10 AND b.vec_id % 2 = a.vec_id % 2),
+m AS (SELECT was, now, median(old) AS mo, median(new) AS mn FROM s GROUP BY ALL),
+d AS MATERIALIZED (SELECT was, now, avg(abs((new - mn) - (old - mo))) <= 0.4 AS alike FROM s JOIN m USING (was, now) GROUP BY ALL),
+f AS (SELECT vec_id AS now, vec_id AS was, false AS hit FROM embeddings WHERE vec_id % 10 < 2
+      UNION ALL SELECT d.now, CASE WHEN d.alike THEN f.was ELSE d.now END, d.alike FROM f JOIN d ON d.was = f.was AND d.now = f.now + 2)"""
+
+
+@query("t02_mask_cache_state", f"{FOUND} SELECT now // 10 AS clip_id, now % 10 AS frame, 0 AS item_ord, hit FROM f")
 def t02(spark, sf_dir):
-    from glyphframe.streaming.mask_cache import cache_hits
+    from glyphframe.streaming.mask_cache import Limits, cache_hits
 
-    return cache_hits(_crops(spark, sf_dir), tolerance=0.4)
+    return cache_hits(_crops(spark, sf_dir), Limits(tolerance=0.4))
 
 
-@query("j07_mask_cache")
+@query("j07_mask_cache", f"{FOUND} SELECT now // 10 AS clip_id, count_if(hit) AS hits, count(*) AS asked FROM f GROUP BY 1")
 def j07(spark, sf_dir):
-    from glyphframe.streaming.mask_cache import cache_hits
+    from glyphframe.streaming.mask_cache import Limits, cache_hits
+
+    return cache_hits(_crops(spark, sf_dir), Limits(tolerance=0.4)).groupBy("clip_id").agg(F.count_if("hit").alias("hits"), F.count("*").alias("asked"))
+
 
-    return cache_hits(_crops(spark, sf_dir), tolerance=0.4).groupBy("clip_id").agg(F.count_if("hit").alias("hits"), F.count("*").alias("asked"))
+@query("p21_gray", "SELECT p_partkey, (9798 * (p_size * 5) + 19235 * (p_partkey % 256) + 3735 * (p_partkey * 7 % 256) + 16384) >> 15 AS gray FROM part")
+def p21(spark, sf_dir):
+    """Sizes and keys stand for the bytes of a pixel."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", media.gray(F.col("p_size") * 5, k % 256, k * 7 % 256).cast("bigint").alias("gray"))
+
+
+@query("s17_debug_sink", f"WITH {CELLS}, s AS (SELECT vec_id, i * 100 AS before, i * 100 + floor(prob * 5000) AS after, prob FROM p), r AS (SELECT vec_id, least(min(before), min(after)) AS lo, greatest(max(before), max(after)) AS hi FROM s GROUP BY 1) SELECT s.vec_id, CAST(sum(7 + floor((before - lo) / (hi - lo) * 255) + floor(prob * 255) + floor((after - lo) / (hi - lo) * 255)) AS BIGINT) AS total, 256 AS samples FROM s JOIN r USING (vec_id) WHERE vec_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 20) GROUP BY 1")
+def s17(spark, sf_dir):
+    """Panels of the first twenty frames with text: a grey picture, a ramp of depths, the mask, and the ramp lifted by it."""
+    first = table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(20).select("vec_id")
+    before = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i * 100.0)
+    rows = probs(spark, sf_dir).join(F.broadcast(first), "vec_id").withColumn("before", before).withColumn("after", F.zip_with("before", "prob", lambda b, p: b + F.floor(p * 5000)))
+    panel = pixels.debug_panel(F.array_repeat(F.lit(7), 64), F.col("before"), F.col("prob"), F.col("after"), 8, 8)
+    return rows.select("vec_id", panel.alias("panel")).select("vec_id", F.aggregate("panel", F.lit(0), lambda a, x: a + x).cast("bigint").alias("total"), F.size("panel").alias("samples"))
+
+
+@query("s11_depth_sink", "SELECT vec_id // 10 AS clip_id, vec_id % 10 AS frame, CAST(list_sum(list_transform(embedding, lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 1000) AS BIGINT) % 256)) AS BIGINT) AS total FROM embeddings")
+def s11(spark, sf_dir):
+    """Planes of bytes are written as frames and read again; nothing changes on the way."""
+    from glyphframe.sources import frames
+
+    k = F.col("vec_id")
+    levels = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 1000) % 256)
+    plane = F.unhex(F.array_join(F.transform(levels, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 10").alias("clip_id"), (k % 10).alias("frame"), F.lit(8).alias("w"), F.lit(8).alias("h"), F.lit(24.0).alias("fps"), F.lit(8).alias("bit_depth"), plane.alias("luma"), F.unhex(F.lit("")).alias("chroma"))
+    path = frames.shared_folder(spark, "frames")
+    frames.put_frames(rows, path)
+    read = frames.get_frames(spark, path)
+    return read.select("clip_id", "frame", F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.hex(F.substring("luma", i + 1, F.lit(1))), 16, 10).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
 @query("k11_segment", f"WITH {CELLS} SELECT vec_id, round(sum(prob), 6) AS total FROM p GROUP BY 1")
@@ -220,10 +278,12 @@ def k11(spark, sf_dir):
     return made.select("vec_id", F.round(F.aggregate("prob", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query("j09_region_frame_crop", "SELECT vec_id, p_partkey, round(list_sum(list_transform(list_filter(range(1, 65), lambda i: (i - 1) // 8 < 1 + p_size % 7 AND (i - 1) % 8 < 4), lambda i: CAST(embedding[i] AS DOUBLE))), 6) AS total FROM embeddings JOIN part ON p_partkey % 500 = vec_id")
+@query("j09_region_frame_crop", "SELECT vec_id, p_partkey, round(list_sum(list_transform(list_filter(range(1, 65), lambda i: (i - 1) // 8 < 1 + p_size % 7 AND (i - 1) % 8 < 4), lambda i: CAST(embedding[i] AS DOUBLE))), 6) AS total FROM embeddings JOIN part ON p_partkey % (SELECT count(*) FROM embeddings) = vec_id")
 def j09(spark, sf_dir):
     """Parts are regions: the first rows of a frame, as many as the size says, four pixels wide."""
-    frames = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    found = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 500).alias("vec_id"), (F.col("p_size") % 7).alias("last"))
-    rows = F.flatten(F.transform(F.sequence(F.lit(0), F.col("last")), lambda y: F.slice("embedding", y * 8 + 1, F.lit(4))))
+    vectors = table(spark, sf_dir, "embeddings")
+    frames = vectors.select("vec_id", "embedding")
+    found = table(spark, sf_dir, "part").crossJoin(F.broadcast(vectors.agg(F.count("*").alias("n"))))  # one row
+    found = found.select("p_partkey", (F.col("p_partkey") % F.col("n")).alias("vec_id"), (F.col("p_size") % 7).alias("last"))
+    rows = pixels.crop(F.col("embedding"), 8, F.lit(0), F.lit(0), F.lit(4), F.col("last") + 1)
     return frames.join(found, "vec_id").select("vec_id", "p_partkey", F.round(F.aggregate(rows, F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glyphframe.functions import boxes, media
+from glyphframe.operators import clips, exclusions, masks, regions
 from glyphframe.plans.registry import query, table
 
 FORMATS = "CASE p_partkey % 6 WHEN 0 THEN 'yuv420p' WHEN 1 THEN 'gray16le' WHEN 2 THEN 'yuv420p10le' WHEN 3 THEN 'rgb24' WHEN 4 THEN 'p010le' ELSE 'yuv444p12le' END"
@@ -103,10 +104,11 @@ def p13(spark, sf_dir):
     return rows.select("p_partkey", F.format_string("[[%.3f, 0.000, %.3f], [0.000, %.3f, %.3f]]", "al.sx", "al.tx", "al.sy", "al.ty").alias("m"))
 
 
-@query("p14_video_info_str", f"{PARTS} SELECT p_partkey, printf('%dx%d @ %.3f fps, %d frames, %s (%d-bit)', p_size * 16, p_size * 9, p_size + 0.5::DOUBLE, p_partkey, fmt, {BITS}) AS s, CAST(p_size * 16 AS DOUBLE) / (p_size * 9) AS aspect FROM f")
+@query("p14_video_info_str", f"{PARTS} SELECT p_partkey, printf('%dx%d @ %.3ffps, %s frames, %s (%d-bit)', p_size * 16, p_size * 9, p_size + 0.5::DOUBLE, CASE WHEN p_partkey % 7 = 0 THEN '?' ELSE CAST(p_partkey AS VARCHAR) END, fmt, {BITS}) AS s, CAST(p_size * 16 AS DOUBLE) / (p_size * 9) AS aspect FROM f")
 def p14(spark, sf_dir):
-    w, h = F.col("p_size") * 16, F.col("p_size") * 9
-    return formats(spark, sf_dir).select("p_partkey", media.describe_clip(w, h, F.col("p_size") + 0.5, F.col("p_partkey"), F.col("fmt")).alias("s"), (w / h).alias("aspect"))
+    """Of every seventh clip the number of frames isn't known."""
+    w, h, k = F.col("p_size") * 16, F.col("p_size") * 9, F.col("p_partkey")
+    return formats(spark, sf_dir).select("p_partkey", media.describe_clip(w, h, F.col("p_size") + 0.5, F.when(k % 7 == 0, 0).otherwise(k), F.col("fmt")).alias("s"), (w / h).alias("aspect"))
 
 
 @query("p23_run_colour", "SELECT p_partkey, round((p_partkey * 0.61803398875::DOUBLE) % 1.0::DOUBLE, 6) AS h, 0.62::DOUBLE AS s, 0.92::DOUBLE AS v FROM part")
@@ -142,82 +144,82 @@ def s19(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", media.cache_key(F.concat(F.lit("d"), F.col("c_nationkey")), F.col("c_name"), F.col("c_mktsegment")).alias("key"))
 
 
-@query("s20_guess_depth", "SELECT s_suppkey, coalesce((SELECT min(1) FROM customer WHERE c_custkey = s_suppkey * 11), CASE WHEN s_suppkey % 4 = 0 THEN 2 END, 0)::INT AS found FROM supplier")
+@query("s20_guess_depth", "SELECT s_suppkey, coalesce((SELECT c_name FROM customer WHERE c_custkey = s_suppkey * 11), (SELECT c_name FROM customer WHERE c_custkey = s_suppkey * 3)) AS found FROM supplier")
 def s20(spark, sf_dir):
-    """The first candidate that exists: a customer of eleven times the number, else every fourth, else none."""
-    there = table(spark, sf_dir, "customer").select((F.col("c_custkey") / 11).alias("k"), F.lit(1).alias("first")).distinct()
-    s = table(spark, sf_dir, "supplier").join(there, F.col("s_suppkey").cast("double") == F.col("k"), "left")
-    return s.select("s_suppkey", F.coalesce("first", F.when(F.col("s_suppkey") % 4 == 0, 2), F.lit(0)).alias("found"))
+    """Customers stand for files; the first candidate has eleven times a supplier's number, the second three times."""
+    path = lambda n: F.format_string("Customer#%09d", F.col("s_suppkey") * n)
+    wanted = table(spark, sf_dir, "supplier").select("s_suppkey", path(11).alias("first"), path(3).alias("second"))
+    return clips.first_existing(wanted, ["first", "second"], table(spark, sf_dir, "customer").select("c_name")).select("s_suppkey", "found")
 
 
-@query("s21_checkpoint_resolve", "SELECT p_type, min(p_name) AS file FROM part WHERE p_brand LIKE 'Brand#1%' GROUP BY p_type")
+@query("s21_checkpoint_resolve", "SELECT p_type, min(p_name) AS file FROM part WHERE p_name LIKE 'Part%' AND p_name LIKE '%7' GROUP BY p_type")
 def s21(spark, sf_dir):
-    return table(spark, sf_dir, "part").where(F.col("p_brand").startswith("Brand#1")).groupBy("p_type").agg(F.min("p_name").alias("file"))
+    return clips.checkpoints(table(spark, sf_dir, "part"), "Part", ["p_type"], "p_name", "7")
 
 
 @query("s22_weights_merge", "SELECT coalesce(a.p_partkey, b.p_partkey) AS key, coalesce(a.p_size, b.p_size) AS v FROM (SELECT * FROM part WHERE p_partkey % 3 = 0) a FULL JOIN (SELECT p_partkey, p_size + 100 AS p_size FROM part WHERE p_partkey % 2 = 0) b ON a.p_partkey = b.p_partkey")
 def s22(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").alias("v"))
-    second = p.where("key % 2 = 0").select("key", (F.col("v") + 100).alias("w"))
-    return p.where("key % 3 = 0").join(second, "key", "full").select("key", F.coalesce("v", "w").alias("v"))
+    return clips.merged_weights(p.where("key % 3 = 0"), p.where("key % 2 = 0").select("key", (F.col("v") + 100).alias("v")), value="v")
 
 
 @query("l05_sorted_exclusions", "SELECT c_nationkey, array_to_string(list_sort(list_distinct(list(c_custkey % 17))), ',') AS ids FROM customer GROUP BY 1")
 def l05(spark, sf_dir):
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_set(F.col("c_custkey") % 17)), ",").alias("ids"))
+    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_join(exclusions.sorted_ids(F.col("c_custkey") % 17), ",").alias("ids"))
 
 
 @query("u01_exclusions_union", "SELECT DISTINCT c_nationkey AS clip, c_custkey % 5 AS run FROM customer UNION SELECT s_nationkey, s_suppkey % 7 FROM supplier")
 def u01(spark, sf_dir):
     stored = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("clip"), (F.col("c_custkey") % 5).alias("run"))
-    return stored.union(table(spark, sf_dir, "supplier").select("s_nationkey", F.col("s_suppkey") % 7)).distinct()
+    return exclusions.union(stored, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("clip"), (F.col("s_suppkey") % 7).alias("run")))
 
 
 @query("u02_toggle_run", "SELECT c_custkey, CASE WHEN list_contains(l, 3) THEN array_to_string(list_filter(l, lambda x: x <> 3), ',') ELSE array_to_string(list_append(l, 3), ',') END AS ids FROM (SELECT c_custkey, [c_custkey % 4, 4 + c_custkey % 5] AS l FROM customer)")
 def u02(spark, sf_dir):
     held = F.array(F.col("c_custkey") % 4, 4 + F.col("c_custkey") % 5)
-    three = F.lit(3).cast("bigint")
-    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.when(F.array_contains(held, three), F.array_remove(held, three)).otherwise(F.array_append(held, three)), ",").alias("ids"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(exclusions.toggled(held, F.lit(3).cast("bigint")), ",").alias("ids"))
 
 
-@query("u04_persist_exclusions", "SELECT c_custkey AS clip, 1 AS version, CASE WHEN c_custkey % 2 = 0 THEN 7 ELSE c_nationkey END AS excluded FROM customer")
+@query("u04_persist_exclusions", "SELECT c_custkey AS clip, CASE WHEN c_custkey % 2 = 0 THEN '3,7' ELSE CAST(c_nationkey AS VARCHAR) END AS excluded, c_name AS path FROM customer")
 def u04(spark, sf_dir):
     """Read, modify and write: the documents of even clips get another list, all else stays."""
-    doc = F.to_json(F.struct(F.lit(1).alias("version"), F.col("c_nationkey").alias("excluded")))
+    doc = F.to_json(F.struct(F.lit(1).alias("version"), F.col("c_name").alias("path"), F.array("c_nationkey").alias("excluded")))
     docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("clip"), doc.alias("document"))
-    read = docs.select("clip", F.from_json("document", "struct<version:int,excluded:int>").alias("d"))
-    return read.select("clip", "d.version", F.when(F.col("clip") % 2 == 0, 7).otherwise(F.col("d.excluded")).alias("excluded"))
+    written = docs.select("clip", F.when(F.col("clip") % 2 == 0, exclusions.persisted(F.col("document"), F.array(F.lit(7), F.lit(3)))).otherwise(F.col("document")).alias("document"))
+    return written.select("clip", F.array_join(exclusions.read(F.col("document")), ",").alias("excluded"), F.get_json_object("document", "$.path").alias("path"))
 
 
 @query("f12_skip_empty_crop", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 10 AND l_tax > 0.02")
 def f12(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").withColumn("b", boxes.box(F.lit(10), F.lit(2), F.col("l_quantity"), F.round(F.col("l_tax") * 100, 0)))
-    return rows.where((F.col("b.x1") > F.col("b.x0")) & (F.col("b.y1") > F.col("b.y0"))).select("l_orderkey", "l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", boxes.box(F.lit(10), F.lit(2), F.col("l_quantity"), F.round(F.col("l_tax") * 100, 0)).alias("b"))
+    return regions.non_empty(rows.select("l_orderkey", "l_linenumber", "b.*")).select("l_orderkey", "l_linenumber")
+
+
+def mask_tables(spark, sf_dir):
+    """Parts are regions, three of four with a run; suppliers are masks of runs, customers of frames."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 4 - 1).alias("run"), (F.col("p_partkey") % 30).alias("run_id"), (F.col("p_partkey") * 2).alias("frame"))
+    of_run = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("run_id"), F.col("s_acctbal").alias("mask"))
+    return p, of_run, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("frame"), F.col("c_acctbal").alias("mask"))
 
 
 @query("f14_mask_ready", "SELECT p_partkey, CASE WHEN p_partkey % 4 - 1 >= 0 THEN EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = p_partkey % 30) ELSE EXISTS (SELECT 1 FROM customer WHERE c_custkey = p_partkey * 2) END AS ready FROM part")
 def f14(spark, sf_dir):
-    """Suppliers stand for run masks, customers for masks of a frame; every fourth region has no run."""
-    p = table(spark, sf_dir, "part").withColumn("run", F.col("p_partkey") % 4 - 1)
-    of_run = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("r")).distinct()
-    of_frame = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("f")).distinct()
-    joined = p.join(of_run, F.col("p_partkey") % 30 == F.col("r"), "left").join(of_frame, F.col("p_partkey") * 2 == F.col("f"), "left")
-    return joined.select("p_partkey", F.when(F.col("run") >= 0, F.col("r").isNotNull()).otherwise(F.col("f").isNotNull()).alias("ready"))
+    p, of_run, of_frame = mask_tables(spark, sf_dir)
+    return masks.ready(p, of_run, of_frame, ["run_id"], ["frame"]).select("p_partkey", "ready")
 
 
-@query("j11_mask_resolve", "SELECT p_partkey, coalesce(s.s_acctbal, c.c_acctbal) AS mask FROM part LEFT JOIN supplier s ON s.s_suppkey = p_partkey % 30 AND p_partkey % 2 = 0 LEFT JOIN customer c ON c.c_custkey = p_partkey * 2")
+@query("j11_mask_resolve", "SELECT p_partkey, coalesce(s.s_acctbal, c.c_acctbal, CASE WHEN p_partkey % 3 = 0 THEN -1.0 * p_partkey END) AS mask FROM part LEFT JOIN supplier s ON s.s_suppkey = p_partkey % 30 LEFT JOIN customer c ON c.c_custkey = p_partkey * 2")
 def j11(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    of_run = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("r"), F.col("s_acctbal").alias("run_mask"))
-    of_frame = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("f"), F.col("c_acctbal").alias("frame_mask"))
-    joined = p.join(of_run, (F.col("p_partkey") % 30 == F.col("r")) & (F.col("p_partkey") % 2 == 0), "left").join(of_frame, F.col("p_partkey") * 2 == F.col("f"), "left")
-    return joined.select("p_partkey", F.coalesce("run_mask", "frame_mask").alias("mask"))
+    """A model that makes masks of every third region does the rest."""
+    p, of_run, of_frame = mask_tables(spark, sf_dir)
+    model = lambda rest: rest.withColumn("mask", F.when(F.col("p_partkey") % 3 == 0, -F.col("p_partkey").cast("double")))
+    return masks.resolve(p, of_run, of_frame, ["run_id"], ["frame"], model).select("p_partkey", "mask")
 
 
 @query("j06_run_mask_lookup", "SELECT l_orderkey, l_linenumber, s_acctbal AS mask FROM lineitem JOIN supplier ON s_suppkey = l_suppkey")
 def j06(spark, sf_dir):
-    masks = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_acctbal").alias("mask"))
-    return table(spark, sf_dir, "lineitem").join(masks, "l_suppkey").select("l_orderkey", "l_linenumber", "mask")
+    stored = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_acctbal").alias("mask"))
+    return masks.run_masks(table(spark, sf_dir, "lineitem"), stored, ["l_suppkey"]).select("l_orderkey", "l_linenumber", "mask")
 
 
 @query("j01_zip_frames", "SELECT o_orderkey AS frame, c_acctbal AS rgb FROM orders LEFT JOIN customer ON c_custkey = o_orderkey")
@@ -232,24 +234,24 @@ def j01(spark, sf_dir):
 
 @query("s16_mask_store_size", "SELECT source AS clip, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents GROUP BY source")
 def s16(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("clip")).agg(F.sum(F.octet_length("text")).alias("bytes"))
+    return masks.stored_size(table(spark, sf_dir, "documents").withColumnRenamed("source", "clip"), "text", "clip")
 
 
 @query("a21_cache_size", "SELECT CAST((SELECT sum(octet_length(encode(text))) FROM documents) + (SELECT sum(octet_length(encode(html))) FROM pages) AS BIGINT) AS bytes")
 def a21(spark, sf_dir):
-    masks, lines = table(spark, sf_dir, "documents").select(F.octet_length("text").alias("n")), table(spark, sf_dir, "pages").select(F.octet_length("html").alias("n"))
-    return masks.union(lines).agg(F.sum("n").alias("bytes"))
+    blobs = table(spark, sf_dir, "documents").select(F.col("text").alias("blob")).union(table(spark, sf_dir, "pages").select("html"))
+    return masks.stored_size(blobs, "blob")
 
 
-@query("a24_setup_report", f"{PARTS} SELECT p_partkey, fmt NOT IN ('yuv420p', 'gray16le', 'yuv420p10le', 'yuv444p12le') AS converted, p_size % 3 <> p_partkey % 3 AS uneven FROM f")
+@query("a24_setup_report", f"{PARTS}, w AS (SELECT p_partkey, fmt NOT IN ('yuv420p', 'gray16le', 'yuv420p10le', 'yuv444p12le') AS converted, p_partkey % 5 = 0 AS coloured, p_size % 3 > 0 AND p_partkey % 3 > 0 AND p_size % 3 <> p_partkey % 3 AS uneven FROM f) SELECT *, CAST(converted AS INT) + CAST(coloured AS INT) + CAST(uneven AS INT) AS warnings FROM w")
 def a24(spark, sf_dir):
-    f = formats(spark, sf_dir)
-    return f.select("p_partkey", (media.depth_format(F.col("fmt")) != F.col("fmt")).alias("converted"), (F.col("p_size") % 3 != F.col("p_partkey") % 3).alias("uneven"))
+    clip = formats(spark, sf_dir).select("p_partkey", "fmt", (F.col("p_partkey") % 5 != 0).alias("neutral"), (F.col("p_size") % 3).alias("rgb_frames"), (F.col("p_partkey") % 3).alias("depth_frames"))
+    return clips.setup_report(clip).select("p_partkey", "converted", "coloured", "uneven", F.size("warnings").alias("warnings"))
 
 
 @query("a15_cache_hit_rate", "SELECT l_returnflag, count_if(l_quantity < 10) / greatest(1, count(*))::DOUBLE AS rate FROM lineitem GROUP BY 1")
 def a15(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg((F.count_if(F.col("l_quantity") < 10) / F.greatest(F.lit(1), F.count("*"))).alias("rate"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(masks.hit_rate(F.col("l_quantity") < 10).alias("rate"))
 
 
 QUADS = "CASE WHEN p_partkey % 2 = 0 THEN [{'x': 0.5, 'y': 1.25}, {'x': p_size + 0.5, 'y': p_partkey % 23 + 1.25}, {'x': p_size - 3.5, 'y': p_partkey % 23 + 9.25}, {'x': -3.5, 'y': 9.25}] ELSE [{'x': 0.0, 'y': 0.0}, {'x': 5.0, 'y': -1.0 * (p_partkey % 7)}, {'x': p_size * 2.0, 'y': 30.0}] END"
@@ -276,27 +278,29 @@ def p02(spark, sf_dir):
     return polygons(spark, sf_dir).select("p_partkey", boxes.poly_box(F.col("poly")).alias("b")).select("p_partkey", "b.*")
 
 
-@query("p04_extract_polys", f"WITH q AS (SELECT p_partkey, {QUADS} AS poly FROM part) SELECT p_partkey % 50 AS frame, count(*) AS n, CAST(count_if(len(poly) = 4) AS BIGINT) AS quads FROM q GROUP BY 1")
+@query("p04_extract_polys", f"WITH q AS (SELECT p_partkey, {QUADS} AS poly FROM part) SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(len(poly) AS INT) END AS points, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 5 = 1 THEN 1.0 ELSE 0.25 END::DOUBLE AS score FROM q WHERE p_partkey % 5 <> 0")
 def p04(spark, sf_dir):
-    """Polygons of a frame, of which those with fewer than three points go (here one in each array is cut short)."""
-    rows = polygons(spark, sf_dir).select((F.col("p_partkey") % 50).alias("frame"), F.explode(F.filter(F.array("poly", F.slice("poly", 1, 2)), lambda p: F.size(p) >= 3)).alias("poly"))
-    return rows.groupBy("frame").agg(F.count("*").alias("n"), F.count_if(F.size("poly") == 4).alias("quads"))
+    """A polygon and one cut short, by another name for each of three clips in five; of one the scores are too few, of one there is nothing."""
+    k = F.col("p_partkey") % 5
+    rows = polygons(spark, sf_dir).withColumn("both", F.array("poly", F.slice("poly", 1, 2)))
+    scores = F.when(k == 1, F.array(F.lit(0.5))).otherwise(F.array(F.lit(0.25), F.lit(0.75)))
+    found = regions.polygons(F.when(k == 2, F.col("both")), F.when(k == 3, F.col("both")), F.when(k != 0, F.col("both")), F.when(k == 2, scores), scores)
+    return rows.select("p_partkey", F.explode(found).alias("d")).select("p_partkey", F.size("d.poly").alias("points"), "d.score")
 
 
-@query("p03_detections_from_polys", f"WITH q AS (SELECT p_partkey, {QUADS} AS poly FROM part), u AS (SELECT p_partkey, unnest(poly) AS p FROM q) SELECT p_partkey, CAST(floor(min(CAST(p.x AS DOUBLE))) AS BIGINT) AS x0, CASE WHEN p_partkey % 3 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS score FROM u GROUP BY 1")
+@query("p03_detections_from_polys", f"WITH q AS (SELECT p_partkey, {QUADS} AS poly FROM part), u AS (SELECT p_partkey, unnest(poly) AS p FROM q), b AS (SELECT p_partkey, CAST(floor(min(CAST(p.x AS DOUBLE))) AS BIGINT) AS x0 FROM u GROUP BY 1) SELECT p_partkey, CAST(o AS INT) AS det_ord, x0, CASE WHEN o = 0 AND p_partkey % 3 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS score FROM b, range(2) r(o) WHERE o = 0 OR p_partkey % 2 = 0")
 def p03(spark, sf_dir):
     """Boxes, polygons and scores put together by place; a missing score is 1."""
-    score = F.when(F.col("p_partkey") % 3 == 0, F.lit(None).cast("double")).otherwise(0.5)
-    zipped = F.arrays_zip(F.array(boxes.poly_box(F.col("poly"))).alias("box"), F.array(score).alias("score"))
-    rows = polygons(spark, sf_dir).select("p_partkey", F.posexplode(zipped).alias("det_ord", "d"))
-    return rows.select("p_partkey", F.col("d.box.x0").alias("x0"), F.coalesce("d.score", F.lit(1.0)).alias("score"))
+    k = F.col("p_partkey")
+    n = F.when(k % 2 == 0, 2).otherwise(1)
+    box = boxes.poly_box(F.col("poly"))
+    rows = polygons(spark, sf_dir).select("p_partkey", F.array_repeat(box, n).alias("boxes"), F.array_repeat("poly", n).alias("polys"), F.array(F.when(k % 3 == 0, F.lit(None).cast("double")).otherwise(0.5), F.lit(0.5)).alias("scores"))
+    return regions.detections(rows).select("p_partkey", "det_ord", "x0", "score")
 
 
-@query("p09_as_region", "SELECT p_partkey, 1 AS n_dets, -1 AS run, 1.0::DOUBLE AS score FROM part")
+@query("p09_as_region", f"WITH q AS (SELECT p_partkey, {QUADS} AS poly FROM part), u AS (SELECT p_partkey, unnest(poly) AS p FROM q) SELECT p_partkey, CAST(ceil(max(CAST(p.x AS DOUBLE))) AS BIGINT) AS x1, 1 AS n_dets, -1 AS run, 1.0::DOUBLE AS score FROM u GROUP BY 1")
 def p09(spark, sf_dir):
-    b = boxes.poly_box(F.col("poly"))
-    region = F.struct(b.alias("box"), F.array(b).alias("dets"), F.lit(1.0).alias("score"), F.lit(-1).alias("run"))
-    return polygons(spark, sf_dir).select("p_partkey", region.alias("r")).select("p_partkey", F.size("r.dets").alias("n_dets"), "r.run", "r.score")
+    return polygons(spark, sf_dir).select("p_partkey", regions.as_region(boxes.poly_box(F.col("poly"))).alias("r")).select("p_partkey", "r.x1", F.size("r.dets").alias("n_dets"), "r.run", "r.score")
 
 
 @query("k09_tile_windows", "SELECT DISTINCT p_partkey, w AS start FROM (SELECT p_partkey, e, unnest(CASE WHEN e <= 1024 THEN [0] ELSE list_append(range(0, e - 1024 + 1, 768), e - 1024) END) AS w FROM (SELECT p_partkey, (p_size * 97)::BIGINT AS e FROM part))")
@@ -305,13 +309,12 @@ def k09(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.explode(media.windows(e, 1024, 768)).alias("start")).select("p_partkey", F.col("start").cast("bigint"))
 
 
-@query("k10_taper", "SELECT p_partkey, i, round(least((i + 1) / 9.0::DOUBLE, (p_size - i) / 9.0::DOUBLE, 1.0), 9) AS w FROM (SELECT p_partkey, p_size, unnest(range(0, p_size)) AS i FROM part)")
+@query("k10_taper", "SELECT p_partkey, i, round(CASE WHEN i < e THEN (i + 1) / (e + 1.0::DOUBLE) WHEN i >= p_size - e THEN (p_size - i) / (e + 1.0::DOUBLE) ELSE 1.0 END, 9) AS w FROM (SELECT p_partkey, p_size, least(8, p_size // 2) AS e, unnest(range(0, p_size)) AS i FROM part)")
 def k10(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(media.taper(F.col("p_size"), 8)).alias("i", "w"))
     return rows.select("p_partkey", F.col("i").cast("bigint").alias("i"), F.round("w", 9).alias("w"))
 
 
-
 @query("p25_parse_roi", "SELECT p_partkey, least(p_size / 100.0, 1.0)::DOUBLE AS x0, 1.0::DOUBLE AS x1 FROM part WHERE p_size < 40")
 def p25(spark, sf_dir):
     """Texts of four shares are split and cast; those out of order go (here those from a size of 40 on)."""

@@ -178,23 +178,30 @@ def l01(spark, sf_dir):
     return tracked_of(spark, sf_dir).groupBy(*tracks.TRACK).agg(F.array_join(F.array_sort(F.collect_list("frame")), ",").alias("frames"))
 
 
-@query("w02_sticky_runs", f"WITH {TRUTH} SELECT r.clip_id, r.frame, r.item_ord, 0 AS sticky FROM regs r JOIN stats s USING (clip_id, cap_id) WHERE s.motion <= 0.02")
+#: What TRUTH says, worked out once, and each caption's sticky runs: a run goes on while its union shares 0.8 or more with
+#: the next box.
+def _sticky(select: str) -> str:
+    share = "(least(u.x1, r.x1) - greatest(u.x0, r.x0)) * (least(u.y1, r.y1) - greatest(u.y0, r.y0))"
+    meet = "least(u.x1, r.x1) > greatest(u.x0, r.x0) AND least(u.y1, r.y1) > greatest(u.y0, r.y0)"
+    stays = f"({meet} AND CAST({share} AS DOUBLE) / ((u.x1 - u.x0) * (u.y1 - u.y0) + (r.x1 - r.x0) * (r.y1 - r.y0) - {share}) >= 0.8)"
+    kept = lambda pick, c: f"CASE WHEN {stays} THEN {pick}(u.{c}, r.{c}) ELSE r.{c} END"
+    return f"""WITH RECURSIVE {TRUTH.replace("regs AS (", "regs AS MATERIALIZED (").replace("lines AS (", "lines AS MATERIALIZED (")},
+seen AS MATERIALIZED (SELECT clip_id, cap_id, frame, item_ord, x0, y0, x1, y1, row_number() OVER (PARTITION BY clip_id, cap_id ORDER BY frame) AS n FROM regs),
+u AS (SELECT clip_id, cap_id, frame, item_ord, n, x0, y0, x1, y1, 0 AS sticky FROM seen WHERE n = 1
+      UNION ALL SELECT r.clip_id, r.cap_id, r.frame, r.item_ord, r.n, {kept("least", "x0")}, {kept("least", "y0")}, {kept("greatest", "x1")}, {kept("greatest", "y1")}, u.sticky + CASE WHEN {stays} THEN 0 ELSE 1 END
+      FROM u JOIN seen r ON r.clip_id = u.clip_id AND r.cap_id = u.cap_id AND r.n = u.n + 1)
+{select}"""
+
+
+@query("w02_sticky_runs", _sticky("SELECT clip_id, frame, item_ord, sticky FROM u"))
 def w02(spark, sf_dir):
-    """Captions that don't move have one sticky run; those that do are left out, by their tracks' motion."""
-    tracked = tracked_of(spark, sf_dir)
-    return tracked.join(_still(tracked), list(tracks.TRACK)).select("clip_id", "frame", "item_ord", "sticky")
-
+    """Captions that don't move have one sticky run, those that do have many."""
+    return tracked_of(spark, sf_dir).select("clip_id", "frame", "item_ord", "sticky")
 
-def _still(tracked: DataFrame) -> DataFrame:
-    """Tracks whose height or motion shows that they aren't of the moving kind; a single frame doesn't show it."""
-    moving = tracks.track_stats(tracked).where("motion > 0.02").select(*tracks.TRACK)
-    return tracked.select(*tracks.TRACK).distinct().join(moving, list(tracks.TRACK), "left_anti")
 
-
-@query("w03_canonical_box", f"WITH {TRUTH} SELECT r.clip_id, r.frame, r.item_ord, s.x0, s.y0, s.x1, s.y1 FROM regs r JOIN stats s USING (clip_id, cap_id) WHERE s.motion <= 0.02")
+@query("w03_canonical_box", _sticky("SELECT s.clip_id, s.frame, s.item_ord, min(s.x0) OVER w AS x0, min(s.y0) OVER w AS y0, max(s.x1) OVER w AS x1, max(s.y1) OVER w AS y1 FROM u JOIN seen s ON s.clip_id = u.clip_id AND s.cap_id = u.cap_id AND s.n = u.n WINDOW w AS (PARTITION BY u.clip_id, u.cap_id, u.sticky)"))
 def w03(spark, sf_dir):
-    tracked = tracked_of(spark, sf_dir)
-    return tracks.canonical_boxes(tracked).join(_still(tracked), list(tracks.TRACK)).select("clip_id", "frame", "item_ord", "x0", "y0", "x1", "y1")
+    return tracks.canonical_boxes(tracked_of(spark, sf_dir)).select("clip_id", "frame", "item_ord", "x0", "y0", "x1", "y1")
 
 
 @query("w04_bridge_gaps", f"WITH {TRUTH} SELECT clip_id, first_frame, first_ord, unnest(range(first_frame, last_frame + 1)) AS frame FROM stats")
@@ -207,11 +214,16 @@ def w11(spark, sf_dir):
     return timeline_of(spark, sf_dir).select("clip_id", "frame", "run", "x0", "y0", "x1", "y1")
 
 
+def _every_run(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
+    """Runs by number, of every clip: more than any clip has."""
+    clips = table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 64").alias("clip_id")).distinct()
+    return clips.select("clip_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("run")).where(condition)
+
+
 @query("a07_run_spans", f"WITH {TRUTH} SELECT clip_id, run, first_frame AS start, last_frame AS \"end\", run % 3 = 1 AS excluded FROM runs")
 def a07(spark, sf_dir):
     """Every third run is excluded."""
-    found = timeline_of(spark, sf_dir)
-    return timeline.run_spans(found, found.where("run % 3 = 1").select("clip_id", "run").distinct())
+    return timeline.run_spans(timeline_of(spark, sf_dir), _every_run(spark, sf_dir, "run % 3 = 1"))
 
 
 @query("a08_run_frames", f"WITH {TRUTH} SELECT clip_id, run, count(*) AS n_frames, string_agg(CAST(frame AS VARCHAR), ',' ORDER BY frame) AS frames FROM line GROUP BY ALL")
@@ -230,9 +242,9 @@ def f09(spark, sf_dir):
     return timeline.exclude_runs(timeline_of(spark, sf_dir), spark.createDataFrame([(0,), (2,)], "run int")).select("clip_id", "frame", "run")
 
 
-@query("f13_visible_regions", f"WITH {TRUTH} SELECT clip_id, frame, run FROM line WHERE run <> 1 AND frame < 400")
+@query("f13_visible_regions", f"WITH {TRUTH} SELECT clip_id, frame, run FROM line WHERE run <> 1")
 def f13(spark, sf_dir):
-    return timeline.exclude_runs(timeline_of(spark, sf_dir).where("frame < 400"), spark.createDataFrame([(1,)], "run int")).select("clip_id", "frame", "run")
+    return timeline.exclude_runs(timeline_of(spark, sf_dir), spark.createDataFrame([(1,)], "run int")).select("clip_id", "frame", "run")
 
 
 @query("w06_text_islands", f"WITH {TRUTH}, f AS (SELECT DISTINCT clip_id, frame FROM line), g AS (SELECT *, frame - row_number() OVER (PARTITION BY clip_id ORDER BY frame) AS g FROM f) SELECT clip_id, min(frame) AS start, max(frame) AS \"end\" FROM g GROUP BY clip_id, g")
@@ -248,8 +260,7 @@ def w09(spark, sf_dir):
 @query("w10_run_at", f"WITH {TRUTH} SELECT clip_id, frame, arg_min(run, (CASE WHEN run % 2 = 0 THEN 1000000 ELSE 0 END) + run) AS run FROM line GROUP BY clip_id, frame")
 def w10(spark, sf_dir):
     """Even runs are excluded."""
-    found = timeline_of(spark, sf_dir)
-    return timeline.run_at(found, found.where("run % 2 = 0").select("clip_id", "run").distinct())
+    return timeline.run_at(timeline_of(spark, sf_dir), _every_run(spark, sf_dir, "run % 2 = 0"))
 
 
 @query("w07_hold_stride", f"WITH {TRUTH}, {SPINE} SELECT s.clip_id, s.frame, (SELECT count(*) FROM regs r WHERE r.clip_id = s.clip_id AND r.frame = s.frame - s.frame % 3) AS n_regions FROM spine s")
@@ -295,16 +306,21 @@ def f08(spark, sf_dir):
 @query("a20_best_recognition", "SELECT l_orderkey AS track, l_linestatus || l_returnflag AS text, l_quantity / 100 AS score FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_linestatus || l_returnflag DESC) = 1")
 def a20(spark, sf_dir):
     """Lines of an order stand for the crops of a track; the first of equal scores counts."""
-    crops = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("track"), F.col("l_linenumber").alias("ord"), F.concat("l_linestatus", "l_returnflag").alias("text"), (F.col("l_quantity") / 100).alias("score"))
-    return crops.groupBy("track").agg(F.max_by("text", F.struct("score", -F.col("ord"), "text")).alias("text"), F.max("score").alias("score"))
+    crops = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("track"), F.col("l_linenumber").alias("det_ord"), F.concat("l_linestatus", "l_returnflag").alias("text"), (F.col("l_quantity") / 100).alias("score"))
+    return tracks.best_readings(crops, ["track"]).select("track", "best.text", "best.score")
 
 
-@query("s13_timeline_write", f"WITH {TRUTH} SELECT clip_id, count(*) AS n_regions, min(run) AS lo, max(run) AS hi FROM line GROUP BY clip_id")
+@query("s13_timeline_write", f"WITH {TRUTH}, {SPINE}, k AS (SELECT clip_id, count(*) AS n_regions, min(run) AS lo, max(run) AS hi, count(DISTINCT frame) AS text_frames FROM line GROUP BY clip_id) SELECT c.clip_id, coalesce(n_regions, 0) AS n_regions, lo, hi, coalesce(k.text_frames, 0) AS text_frames, (SELECT count(DISTINCT frame) FROM regs r WHERE r.clip_id = c.clip_id) AS raw_text_frames, 12 AS min_track, '1,4' AS excluded FROM (SELECT DISTINCT clip_id FROM spine) c LEFT JOIN k USING (clip_id)")
 def s13(spark, sf_dir):
-    """Documents are written and read again; a region is lost nowhere."""
-    found = timeline_of(spark, sf_dir)
-    read = timeline.read_documents(timeline.documents(found, spine_of(spark, sf_dir)))
-    return read.groupBy("clip_id").agg(F.count("*").alias("n_regions"), F.min("run").alias("lo"), F.max("run").alias("hi"))
+    """Documents are written and read again; a region is lost nowhere, nor is what else they say."""
+    raw = regions_of(spark, sf_dir)
+    found = tracks.smooth_timeline(raw, CFG, 12)
+    docs = timeline.documents(found, spine_of(spark, sf_dir), (4, 1), raw, 12)
+    saved = docs.select("clip_id", "document", F.from_json("document", "struct<raw_text_frames:bigint,text_frames:bigint,min_track:int>").alias("d"))
+    read = timeline.read_documents(docs).groupBy("clip_id").agg(F.count("*").alias("n_regions"), F.min("run").alias("lo"), F.max("run").alias("hi"))
+    states = timeline.document_states(docs).where("note is null").select("clip_id", F.array_join("excluded", ",").alias("excluded"))
+    joined = saved.join(states, "clip_id").join(read, "clip_id", "left")
+    return joined.select("clip_id", F.coalesce("n_regions", F.lit(0)).alias("n_regions"), "lo", "hi", "d.text_frames", "d.raw_text_frames", "d.min_track", "excluded")
 
 
 @query("u03_depth_tail", "SELECT o_orderkey AS frame, o_orderkey < 500 AS edited FROM orders")
@@ -318,7 +334,11 @@ def w08(spark, sf_dir):
     return timeline.lane_pack(timeline.run_spans(timeline_of(spark, sf_dir), None))
 
 
-@query("p08_iou", f"WITH {DETS} SELECT a.clip_id, a.frame, a.det_ord, CASE WHEN least(a.x1, b.x1 - 100) > greatest(a.x0, b.x0 - 100) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) THEN round(CAST((least(a.x1, b.x1 - 100) - greatest(a.x0, b.x0 - 100)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS DOUBLE) / ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - (least(a.x1, b.x1 - 100) - greatest(a.x0, b.x0 - 100)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))), 9) ELSE 0.0 END AS iou FROM dets a JOIN dets b ON a.clip_id = b.clip_id AND a.frame = b.frame AND b.det_ord = a.det_ord + 1")
+#: Each detection with the next of its frame, found in one scan.
+NEXT = f"WITH {DETS}, n AS (SELECT clip_id, frame, det_ord, x0, y0, x1, y1, lead(x0) OVER w AS bx0, lead(y0) OVER w AS by0, lead(x1) OVER w AS bx1, lead(y1) OVER w AS by1 FROM dets WINDOW w AS (PARTITION BY clip_id, frame ORDER BY det_ord)), p AS (SELECT * FROM n WHERE bx0 IS NOT NULL)"
+
+
+@query("p08_iou", f"{NEXT}, m AS (SELECT clip_id, frame, det_ord, least(x1, bx1 - 100) - greatest(x0, bx0 - 100) AS w, least(y1, by1) - greatest(y0, by0) AS h, (x1 - x0) * (y1 - y0) + (bx1 - bx0) * (by1 - by0) AS areas FROM p) SELECT clip_id, frame, det_ord, CASE WHEN w > 0 AND h > 0 THEN round(CAST(w * h AS DOUBLE) / (areas - w * h), 9) ELSE 0.0 END AS iou FROM m")
 def p08(spark, sf_dir):
     """Each detection with the next of its frame, moved 100 pixels to the left."""
     w = Window.partitionBy("clip_id", "frame").orderBy("det_ord")
@@ -332,14 +352,14 @@ def p05(spark, sf_dir):
     return dets_of(spark, sf_dir).select("clip_id", "frame", "det_ord", boxes.stabilise(regions.box_of_row(), CFG, FRAME).alias("b")).select("clip_id", "frame", "det_ord", "b.*")
 
 
-@query("p06_overlaps", f"WITH {DETS} SELECT a.clip_id, a.frame, a.det_ord, b.x0 <= a.x1 + 10 AND a.x0 <= b.x1 + 10 AND b.y0 <= a.y1 + 10 AND a.y0 <= b.y1 + 10 AS touch FROM dets a JOIN dets b ON a.clip_id = b.clip_id AND a.frame = b.frame AND b.det_ord = a.det_ord + 1")
+@query("p06_overlaps", f"{NEXT} SELECT clip_id, frame, det_ord, bx0 <= x1 + 10 AND x0 <= bx1 + 10 AND by0 <= y1 + 10 AND y0 <= by1 + 10 AS touch FROM p")
 def p06(spark, sf_dir):
     w = Window.partitionBy("clip_id", "frame").orderBy("det_ord")
     rows = dets_of(spark, sf_dir).withColumn("a", regions.box_of_row()).withColumn("b", F.lead("a").over(w)).where("b is not null")
     return rows.select("clip_id", "frame", "det_ord", boxes.overlaps(F.col("a"), F.col("b"), 10).alias("touch"))
 
 
-@query("p07_box_union", f"WITH {DETS} SELECT a.clip_id, a.frame, a.det_ord, least(a.x0, b.x0) AS x0, least(a.y0, b.y0) AS y0, greatest(a.x1, b.x1) AS x1, greatest(a.y1, b.y1) AS y1 FROM dets a JOIN dets b ON a.clip_id = b.clip_id AND a.frame = b.frame AND b.det_ord = a.det_ord + 1")
+@query("p07_box_union", f"{NEXT} SELECT clip_id, frame, det_ord, least(x0, bx0) AS x0, least(y0, by0) AS y0, greatest(x1, bx1) AS x1, greatest(y1, by1) AS y1 FROM p")
 def p07(spark, sf_dir):
     w = Window.partitionBy("clip_id", "frame").orderBy("det_ord")
     rows = dets_of(spark, sf_dir).withColumn("a", regions.box_of_row()).withColumn("b", F.lead("a").over(w)).where("b is not null")

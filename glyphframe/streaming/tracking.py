@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from glyphframe.config import RegionConfig
 from glyphframe.operators.tracks import Linker
+from glyphframe.sources.frames import shared_folder
 
 LINKS = "clip_id bigint, frame bigint, item_ord int, first_frame bigint, first_ord int, sticky int"
 
@@ -47,18 +46,13 @@ def replayed_links(regions: DataFrame, frames: int, cfg: RegionConfig = RegionCo
     The files and the stream's state lie in the folder of spark.checkpoint.dir; a local session may do without.
     """
     spark = regions.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='links-')}"
-    root = f"{root.rstrip('/')}/links-{uuid.uuid4().hex}"
+    root = shared_folder(spark, "links")
     rows = regions.select("clip_id", "frame", "item_ord", "x0", "y0", "x1", "y1").withColumn("part", F.floor(F.col("frame") / frames).cast("int"))
     saved = rows.persist()
     for part in range((saved.agg(F.max("part")).first()[0] or 0) + 1):  # bounded by a clip's frames
-        saved.where(F.col("part") == part).drop("part").coalesce(1).write.parquet(f"{root}/in/{part:06d}")
+        saved.where(F.col("part") == part).drop("part").write.parquet(f"{root}/in/{part:06d}")
+        # All files of a part are one micro-batch, however many tasks have written them.
+        stream = spark.readStream.schema(rows.drop("part").schema).parquet(f"{root}/in/*")
+        link_stream(stream, cfg).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     saved.unpersist()
-    stream = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
-    query = link_stream(stream, cfg).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
     return spark.read.schema(LINKS).parquet(f"{root}/out")
