@@ -366,6 +366,19 @@ def held_out(rows, labels, folds, out):
     return sum(hit) / len(hit)
 
 
+def test_the_training_sample_is_bounded(spark):
+    from glyphframe.llm import training
+
+    docs = spark.createDataFrame([(i % 5, "x" * (1 + i), "clash", 0) for i in range(20)] + [(7, None, "clash", 0)], "doc_id long, text string, mark string, `order` int")
+    sample = spark.createDataFrame([(i, i % 2, i) for i in range(9)], "doc_id long, mark int, `order` long")
+    seen = lambda texts, marks: np.array([len(texts), sum(map(len, texts)), marks.sum()], float)
+    rows, size, marked = training.trained(docs, "doc_id", "text", sample, seen)
+    assert rows == 6 and marked == 3, "an id is learnt once, whatever the number of its rows"
+    some = training.trained(docs, "doc_id", "text", sample, seen, most_bytes=int(size) - 1)
+    assert some[0] < rows and some[1] <= size - 1
+    assert list(training.trained(docs, "doc_id", "text", sample, seen)) == [rows, size, marked]
+
+
 def test_classifiers_on_held_out_labels(spark, odd_docs, no_docs):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     known = {r.doc_id: r for r in labels.collect()}
