@@ -127,8 +127,9 @@ def labels(mask: np.ndarray) -> np.ndarray:
             for b, e, k in above:
                 if b <= z and a <= e:
                     other = find(k)
-                    mine = other if not mine else min(mine, other)
-                    root[max(mine, other)] = root[find(k)] = mine
+                    if mine:
+                        root[max(mine, other)] = min(mine, other)
+                    mine = min(mine or other, other)
             if not mine:
                 mine = len(root)
                 root.append(mine)

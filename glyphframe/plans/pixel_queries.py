@@ -253,19 +253,85 @@ def s17(spark, sf_dir):
     return rows.select("vec_id", panel.alias("panel")).select("vec_id", F.aggregate("panel", F.lit(0), lambda a, x: a + x).cast("bigint").alias("total"), F.size("panel").alias("samples"))
 
 
-@query("s11_depth_sink", "SELECT vec_id // 10 AS clip_id, vec_id % 10 AS frame, CAST(list_sum(list_transform(embedding, lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 1000) AS BIGINT) % 256)) AS BIGINT) AS total FROM embeddings")
-def s11(spark, sf_dir):
-    """Planes of bytes are written as frames and read again; nothing changes on the way."""
-    from glyphframe.sources import frames
+BYTES = "CAST(floor(abs(CAST(x AS DOUBLE)) * 1000) AS BIGINT) % 256"
 
+
+def _clips(spark, sf_dir):
+    """Ten vectors are a clip of 8 x 8 bytes."""
     k = F.col("vec_id")
     levels = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 1000) % 256)
     plane = F.unhex(F.array_join(F.transform(levels, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
-    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 10").alias("clip_id"), (k % 10).alias("frame"), F.lit(8).alias("w"), F.lit(8).alias("h"), F.lit(24.0).alias("fps"), F.lit(8).alias("bit_depth"), plane.alias("luma"), F.unhex(F.lit("")).alias("chroma"))
+    return table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 10").alias("clip_id"), (k % 10).alias("frame"), F.lit(8).alias("w"), F.lit(8).alias("h"), F.lit(24.0).alias("fps"), F.lit(8).alias("bit_depth"), plane.alias("luma"), F.unhex(F.lit("")).alias("chroma"))
+
+
+def _levels(frames_):
+    from glyphframe.sources.frames import as_gray16
+
+    return frames_.select("clip_id", "frame", F.aggregate(as_gray16(F.col("luma"), F.col("bit_depth")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
+@query("s11_depth_sink", f"SELECT vec_id // 10 AS clip_id, vec_id % 10 AS frame, CAST(list_sum(list_transform(embedding, lambda x: ({BYTES}) * 257)) AS BIGINT) AS total FROM embeddings")
+def s11(spark, sf_dir):
+    """Planes of bytes are written as frames and read again; nothing changes on the way."""
+    from glyphframe.sources import frames
+
     path = frames.shared_folder(spark, "frames")
-    frames.put_frames(rows, path)
-    read = frames.get_frames(spark, path)
-    return read.select("clip_id", "frame", F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.hex(F.substring("luma", i + 1, F.lit(1))), 16, 10).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+    frames.put_frames(_clips(spark, sf_dir), path)
+    return _levels(frames.get_frames(spark, path))
+
+
+def _scanned(spark, sf_dir):
+    """Five clips as files, read again by spans of four frames."""
+    from glyphframe.sources import frames
+
+    folder = frames.shared_folder(spark, "clips")
+    frames.put_clips(_clips(spark, sf_dir).where("clip_id < 5"), folder)
+    return frames.scan_clips(spark, [f"{folder}/clip-{n}.y4m" for n in range(5)], 4)
+
+
+@query("s02_scan_frames", "SELECT vec_id // 10 AS clip_id, vec_id % 10 AS frame, 8 AS w, 8 AS h, 24.0::DOUBLE AS fps, 8 AS bit_depth, 64 AS size FROM embeddings WHERE vec_id < 50")
+def s02(spark, sf_dir):
+    return _scanned(spark, sf_dir).select("clip_id", "frame", "w", "h", "fps", "bit_depth", F.octet_length("luma").alias("size"))
+
+
+@query("s03_scan_depth", f"SELECT vec_id // 10 AS clip_id, vec_id % 10 AS frame, CAST(list_sum(list_transform(embedding, lambda x: ({BYTES}) * 257)) AS BIGINT) AS total FROM embeddings WHERE vec_id < 50")
+def s03(spark, sf_dir):
+    return _levels(_scanned(spark, sf_dir))
+
+
+def _planes_of_clips(spark, sf_dir):
+    k = F.col("vec_id")
+    return table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 10").alias("clip_id"), (k % 10).alias("frame"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.col("embedding").cast("array<double>").alias("gray"))
+
+
+@query("x01_detector", "WITH c AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) SELECT vec_id // 10 AS clip_id, vec_id % 10 AS frame, 0 AS det_ord, min(i % 8)::DOUBLE AS x0, min(i // 8)::DOUBLE AS y0, max(i % 8 + 1)::DOUBLE AS x1, max(i // 8 + 1)::DOUBLE AS y1, round(max(x), 6) AS score FROM c WHERE x > 0.15 GROUP BY vec_id")
+def x01(spark, sf_dir):
+    """A model that finds one polygon around all that is bright, and a line of two points that goes."""
+    from glyphframe.operators import models
+
+    def load():
+        def model(plane):
+            y, x = np.nonzero(plane > 0.15)
+            if not len(y):
+                return []
+            a, b, c, d = x.min(), y.min(), x.max() + 1, y.max() + 1
+            return [([(a, b), (c, b), (c, d), (a, d)], plane.max()), ([(0, 0), (1, 1)], 1.0)]
+
+        return model
+
+    found = models.detect(_planes_of_clips(spark, sf_dir), load)
+    corner = lambda i, c: F.get("poly", F.lit(i))[c]
+    return found.select("clip_id", "frame", "det_ord", corner(0, "x").alias("x0"), corner(0, "y").alias("y0"), corner(2, "x").alias("x1"), corner(2, "y").alias("y1"), F.round("score", 6).alias("score"))
+
+
+@query("x02_recogniser", "SELECT vec_id // 10 AS clip_id, vec_id % 10 AS frame, 'n' || len(list_filter(embedding, lambda x: x > 0)) AS text, round(CAST(list_max(embedding) AS DOUBLE), 6) AS score FROM embeddings WHERE vec_id % 10 <> 3")
+def x02(spark, sf_dir):
+    """A model that reads how many samples are positive; every tenth crop is too low to be read."""
+    from glyphframe.operators import models
+
+    crops = _planes_of_clips(spark, sf_dir).withColumn("h", F.when(F.col("frame") == 3, 4).otherwise(8)).withColumn("w", F.when(F.col("frame") == 3, 16).otherwise(8))
+    read = models.recognise(crops, lambda: lambda crop: (f"n{(crop > 0).sum()}", crop.max()))
+    return read.select("clip_id", "frame", "text", F.round("score", 6).alias("score"))
 
 
 @query("k11_segment", f"WITH {CELLS} SELECT vec_id, round(sum(prob), 6) AS total FROM p GROUP BY 1")
