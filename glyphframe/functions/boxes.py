@@ -80,6 +80,14 @@ def in_roi(b: Column, roi: tuple[float, float, float, float] | None, frame: Fram
     return x.between(roi[0] * frame.width, roi[2] * frame.width) & y.between(roi[1] * frame.height, roi[3] * frame.height)
 
 
+def roi_of(text: Column) -> Column:
+    """Four shares x0,y0,x1,y1 that a text names, as a struct; null unless there are four and each pair is in order."""
+    shares = F.transform(F.split(text, ","), lambda v: F.trim(v).try_cast("double"))
+    x0, y0, x1, y1 = (F.get(shares, F.lit(k)) for k in range(4))
+    right = (F.size(shares) == 4) & (x0 >= 0) & (x0 < x1) & (x1 <= 1) & (y0 >= 0) & (y0 < y1) & (y1 <= 1)
+    return F.when(right, F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")))
+
+
 def large_enough(b: Column, cfg: RegionConfig = RegionConfig()) -> Column:
     return (b["y1"] - b["y0"] >= cfg.min_height) & (area(b) >= cfg.min_area)
 

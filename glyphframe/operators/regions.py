@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,7 +144,7 @@ def _boxes(column: pa.ListArray) -> list[tuple[Box, ...]]:
     """The boxes of each list of structs."""
     inner = column.flatten()
     flat = list(zip(*[inner.field(c).to_pylist() for c in CORNERS], strict=True))
-    ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
     return [tuple(flat[a:z]) for a, z in zip([0, *ends], ends, strict=False)]
 
 

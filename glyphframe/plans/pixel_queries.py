@@ -83,12 +83,22 @@ def a18(spark, sf_dir):
     return cells.groupBy("g", "i").agg(F.round(media.sigmoid(F.sum(F.col("l") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1e-6))), 6).alias("prob"))
 
 
-@query("a10_text_level", f"WITH {CELLS}, v AS (SELECT vec_id, list(logit) AS core FROM a WHERE alpha > 0.5 GROUP BY 1 HAVING count(*) >= 8) SELECT vec_id, round(quantile_cont(x, 0.85), 6) AS level FROM (SELECT vec_id, unnest(core) AS x FROM v) GROUP BY 1")
+#: The core's 85th percentile, or its 15th where it is darker than at least eight samples around it that have no stroke.
+LEVELS = f"""WITH {CELLS}, d AS (SELECT vec_id, i, alpha, i * (1 + vec_id % 5) * 37 % 64 * 100 AS depth FROM a), core AS (SELECT * FROM d WHERE alpha > 0.5),
+c AS (SELECT vec_id, avg(depth) AS mean, quantile_cont(depth, 0.85) AS high, quantile_cont(depth, 0.15) AS low FROM core GROUP BY 1 HAVING count(*) >= 8),
+o AS (SELECT DISTINCT d.vec_id, d.i, d.depth FROM d JOIN core n ON n.vec_id = d.vec_id AND abs(n.i // 8 - d.i // 8) <= 6 AND abs(n.i % 8 - d.i % 8) <= round_even(sqrt(36 - power(n.i // 8 - d.i // 8, 2)), 0) WHERE d.alpha <= 0.05),
+s AS (SELECT vec_id, count(*) AS n, avg(depth) AS mean FROM o GROUP BY 1)
+SELECT c.vec_id, round(CASE WHEN coalesce(s.n, 0) >= 8 AND c.mean < s.mean THEN low ELSE high END, 6) AS level FROM c LEFT JOIN s USING (vec_id)"""
+
+
+@query("a10_text_level", LEVELS)
 def a10(spark, sf_dir):
-    """The branch without a surround: the core is read at its 85th percentile."""
-    rows = logits(spark, sf_dir).join(alphas(spark, sf_dir).select("vec_id", "alpha"), "vec_id")
-    cells = rows.select("vec_id", F.explode(F.arrays_zip("logit", "alpha")).alias("c")).where("c.alpha > 0.5")
-    return cells.groupBy("vec_id").agg(F.round(F.percentile("c.logit", 0.85), 6).alias("level"), F.count("*").alias("n")).where("n >= 8").drop("n")
+    """Strokes are the vector's, depths a pattern that some strokes are brighter in than what is around them, some darker."""
+    k = F.col("vec_id") % 5
+    rows = alphas(spark, sf_dir).select("vec_id", F.lit(8).alias("h"), F.lit(8).alias("w"), "alpha", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i * (1 + k) * 37 % 64 * 100).cast("double")).alias("depth"))
+    rows = rows.where(F.size(F.filter("alpha", lambda a: a > 0.5)) >= 8)
+    made = pixels.map_planes(rows, lambda depth, alpha: np.array([pixels.text_level(depth, np.asarray(alpha).reshape(depth.shape), CompositeConfig(), 65535)]), ("depth", "alpha"))
+    return made.select("vec_id", F.round(F.get("out", F.lit(0)), 6).alias("level"))
 
 
 @query("a11_value_range", f"WITH {CELLS} SELECT vec_id, round(least(min(logit), min(prob)), 9) AS lo, round(greatest(max(logit), max(prob)), 9) AS hi FROM p GROUP BY 1")

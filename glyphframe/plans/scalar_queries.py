@@ -315,14 +315,14 @@ def k10(spark, sf_dir):
     return rows.select("p_partkey", F.col("i").cast("bigint").alias("i"), F.round("w", 9).alias("w"))
 
 
-@query("p25_parse_roi", "SELECT p_partkey, least(p_size / 100.0, 1.0)::DOUBLE AS x0, 1.0::DOUBLE AS x1 FROM part WHERE p_size < 40")
+@query("p25_parse_roi", "SELECT p_partkey, least(p_size / 100.0, 1.0)::DOUBLE AS x0, 1.0::DOUBLE AS x1 FROM part WHERE p_size < 40 AND p_partkey % 7 > 1")
 def p25(spark, sf_dir):
-    """Texts of four shares are split and cast; those out of order go (here those from a size of 40 on)."""
+    """Those out of order go (here from a size of 40 on), and those of three parts or with a word for a number."""
     x0 = F.format_string("%.2f", F.col("p_size") / 100.0)
     x1 = F.when(F.col("p_size") < 40, "1.0").otherwise("0.1")
-    parts = F.split(F.concat_ws(",", x0, F.lit("0"), x1, F.lit("0.5")), ",").cast("array<double>")
-    rows = table(spark, sf_dir, "part").select("p_partkey", parts.alias("r"))
-    return rows.where("size(r) = 4 and r[0] >= 0 and r[0] < r[2] and r[2] <= 1 and r[1] >= 0 and r[1] < r[3] and r[3] <= 1").select("p_partkey", F.col("r")[0].alias("x0"), F.col("r")[2].alias("x1"))
+    y1 = F.when(F.col("p_partkey") % 7 == 0, "all").when(F.col("p_partkey") % 7 > 1, " 0.5")  # null: left out
+    rows = table(spark, sf_dir, "part").select("p_partkey", boxes.roi_of(F.concat_ws(",", x0, F.lit("0"), x1, y1)).alias("r"))
+    return rows.where("r is not null").select("p_partkey", "r.x0", "r.x1")
 
 
 @query("p26_fit_transform", "SELECT p_partkey, round(k, 9) AS k, round((800 - w * k) / 2, 6) + 0.0 AS dx, round((450 - h * k) / 2, 6) + 0.0 AS dy FROM (SELECT p_partkey, w, h, least(800 / w, 450 / h) AS k FROM (SELECT p_partkey, CAST(p_size * 16 AS DOUBLE) AS w, CAST(300 + p_partkey % 90 AS DOUBLE) AS h FROM part))")

@@ -10,7 +10,7 @@ import __spark_entry__
 from glyphframe import arguments
 from glyphframe.operators import clips, exclusions, masks, timeline
 from glyphframe.plans import catalogue
-from glyphframe.sources.frames import Y4mSource, get_masks, put_clips, put_masks, scan_clips
+from glyphframe.sources.frames import Y4mSource, get_masks, probe, put_clips, put_masks, scan_clips
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,6 +59,9 @@ def test_clips_survive_their_files(spark, tmp_path):
     assert back.rdd.getNumPartitions() == 9
     found = sorted((r.clip_id, r.frame, r.w, r.h, round(r.fps, 3), r.bit_depth, bytes(r.luma), bytes(r.chroma)) for r in back.collect())
     assert found == sorted((*r[:4], round(r[4], 3), *r[5:]) for r in rows)
+    paths = spark.createDataFrame([(c, str(tmp_path / f"clips/clip-{c}.y4m")) for c in (0, 2, 9)] + [(10, None)], "clip_id long, path string")
+    said = {r.clip_id: (r.w, r.h, r.n_frames, r.fmt, r.bit_depth) for r in probe(paths).collect()}
+    assert said == {0: (4, 2, 7, "yuv420p", 8), 2: (4, 2, 7, "yuv420p10le", 10), 9: (None,) * 5, 10: (None,) * 5}
 
 
 def test_masks_are_cleared_by_clip(spark, tmp_path):
