@@ -33,7 +33,7 @@ from .runtime import Scratch, small
 
 PROJECTED = 16
 LEAF = 64
-MISSED = 0.06
+MISSED = 0.15
 SHARD_ROWS = 8_192
 #: Vectors, of the whole table, whose projections decide where the cells are cut.
 SAMPLED = 20_000
