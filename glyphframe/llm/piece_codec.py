@@ -28,7 +28,7 @@ from .runtime import map_text
 SPACE = "▁"
 CHUNK = re.compile(f"\n[^{SPACE}\n]*|{SPACE}+[^{SPACE}\n]*")
 #: Distinct chunks that a Python worker remembers as recent, and as many again that were before those.
-REMEMBER = 250_000
+REMEMBER = 100_000
 NONE = np.int64(1 << 40)
 
 

@@ -8,12 +8,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker holds as one block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: A table is broadcast only after a count shows that it has no more rows and bytes than this.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 48 << 20
@@ -104,15 +105,17 @@ def unclashed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 def blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Record batches cut so that the text column of each has about BLOCK_BYTES (one row at least)."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
+        column = batch.column(batch.schema.get_field_index(text))
+        # Only a block's texts are copied, so that a worker holds a batch and a block.
+        held = lambda start, n: column.slice(start, n).cast(pa.large_binary()).to_pylist()  # noqa: B023, E731
         start = size = 0
-        for row, length in enumerate(pa.compute.binary_length(column).to_pylist()):
+        for row, length in enumerate(pc.binary_length(column).to_pylist()):
             size += length or 0
             if size >= BLOCK_BYTES:
-                yield batch.slice(start, row + 1 - start), column.slice(start, row + 1 - start).to_pylist()
+                yield batch.slice(start, row + 1 - start), held(start, row + 1 - start)
                 start, size = row + 1, 0
         if start < batch.num_rows:
-            yield batch.slice(start), column.slice(start).to_pylist()
+            yield batch.slice(start), held(start, batch.num_rows - start)
 
 
 def map_text(df: DataFrame, text: str, keep: list[str], made: T.StructType, work: Callable[[], Callable[[list], dict]]) -> DataFrame:
