@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components, joined_components
-from .runtime import Scratch, blocks, map_text, small, unclashed
+from .runtime import Scratch, blocks, give_back, map_text, small, unclashed
 from .shingles import mix, shingle_sets
 
 COORDINATES = 128
@@ -88,14 +88,16 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch, other in blocks(batches, "tb"):
             keep = np.zeros(batch.num_rows, bool)
             flat, bounds = shingle_sets(other)
-            for i, own in enumerate(batch.column(2).cast(pa.large_binary())):
-                if (own := own.as_py()) != last[0]:
-                    last = own, shingle_sets([own])[0]
+            for i, own in enumerate(batch.column(2)):
+                whole = own.as_buffer()
+                if (one := whole and whole.to_pybytes()) != last[0]:
+                    last = one, shingle_sets([one])[0]
                 x, y = last[1], flat[bounds[i] : bounds[i + 1]]
                 if len(x) and len(y) and 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)):
                     common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                     keep[i] = 100 * common >= PERCENT * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+        give_back()
 
     return joined.mapInArrow(run, schema)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -118,6 +120,14 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Re
             yield batch.slice(start), held(start, batch.num_rows - start)
 
 
+def give_back() -> None:
+    """Gives what a task has freed back to the system: Spark keeps its Python workers, and other tasks need the memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+        trim(0)
+
+
 def map_text(df: DataFrame, text: str, keep: list[str], made: T.StructType, work: Callable[[], Callable[[list], dict]]) -> DataFrame:
     """keep columns of df, and the columns of made, which work()(texts) gives by name for each block of texts.
 
@@ -135,5 +145,7 @@ def map_text(df: DataFrame, text: str, keep: list[str], made: T.StructType, work
         for batch, texts in blocks(batches, at):
             got = function(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *[pa.array(got[f.name]) for f in made.fields]], names=out_names)
+        del function
+        give_back()
 
     return own.mapInArrow(run, schema)
