@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,23 @@ from glyphframe.sources.frames import shared_folder
 LINKS = "clip_id bigint, frame bigint, item_ord int, first_frame bigint, first_ord int, sticky int"
 
 
+def linked(linker: Linker, clip: int, rows: pd.DataFrame) -> pd.DataFrame:
+    """The links of a clip's next frames; the tracks of its last frame are open from now on.
+
+    Rows go through the linker as plain values: a data frame for each frame of a clip would cost more than all its links.
+    """
+    order = np.lexsort((rows["item_ord"].to_numpy(), rows["frame"].to_numpy()))
+    frames, ordinals, *corners = (rows[c].to_numpy()[order] for c in ("frame", "item_ord", "x0", "y0", "x1", "y1"))
+    links = []
+    for frame, ordinal, *box in zip(frames.tolist(), ordinals.tolist(), *[c.tolist() for c in corners], strict=True):
+        if frame != linker.now:
+            linker.begin(frame)
+        links.append(linker.link(ordinal, tuple(box)))
+    linker.open, linker.begun = linker.open + linker.begun, []
+    first_frame, first_ord, sticky = zip(*links, strict=True)
+    return pd.DataFrame({"clip_id": clip, "frame": frames, "item_ord": ordinals, "first_frame": first_frame, "first_ord": first_ord, "sticky": sticky})
+
+
 def link_stream(regions: DataFrame, cfg: RegionConfig = RegionConfig()) -> DataFrame:
     """first_frame, first_ord and sticky for each region of a stream with clip_id, frame, item_ord and the box.
 
@@ -28,13 +46,9 @@ def link_stream(regions: DataFrame, cfg: RegionConfig = RegionConfig()) -> DataF
         linker = Linker(cfg.link_iou, cfg.link_horizon, cfg.sticky_iou)
         if state.exists:
             linker.open = [[*t[:3], tuple(t[3]), tuple(t[4]), t[5]] for t in json.loads(state.get[0])]
-        rows = pd.concat(list(batches)).sort_values(["frame", "item_ord"])
-        out = []
-        for frame, own in rows.groupby("frame", sort=True):
-            items = [(int(r.item_ord), (int(r.x0), int(r.y0), int(r.x1), int(r.y1))) for r in own.itertuples()]
-            out += [(key[0], int(frame), o, *link) for (o, _), link in zip(items, linker.frame(int(frame), items), strict=True)]
+        made = linked(linker, key[0], pd.concat(list(batches)))
         state.update((json.dumps(linker.open),))
-        yield pd.DataFrame(out, columns=["clip_id", "frame", "item_ord", "first_frame", "first_ord", "sticky"])
+        yield made
 
     columns = regions.select("clip_id", "frame", "item_ord", "x0", "y0", "x1", "y1")
     return columns.groupBy("clip_id").applyInPandasWithState(step, LINKS, "open string", "append", GroupStateTimeout.NoTimeout)

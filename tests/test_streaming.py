@@ -1,5 +1,9 @@
+import time
+
+import pandas as pd
+
 from glyphframe.operators import regions, tracks
-from glyphframe.streaming.tracking import link_stream
+from glyphframe.streaming.tracking import link_stream, linked
 
 
 def test_stream_links_as_the_batch_does(spark, tmp_path):
@@ -13,3 +17,13 @@ def test_stream_links_as_the_batch_does(spark, tmp_path):
     query.stop()
     key = ["clip_id", "frame", "item_ord", "first_frame", "first_ord", "sticky"]
     assert sorted(map(tuple, spark.table("links").select(*key).collect())) == sorted(map(tuple, tracks.build_tracks(found).select(*key).collect()))
+
+
+def test_many_frames_of_a_clip_cost_no_more_than_their_links():
+    rows = pd.DataFrame([(f, o, 100 + 400 * o, 100, 400 + 400 * o, 160) for f in range(20_000) for o in (1, 0)], columns=["frame", "item_ord", "x0", "y0", "x1", "y1"])
+    linker = tracks.Linker(0.3, 12, 0.8)
+    began = time.process_time()
+    made = pd.concat([linked(linker, 7, rows[:30_000]), linked(linker, 7, rows[30_000:])])
+    assert time.process_time() - began < 3
+    assert list(made.columns) == ["clip_id", "frame", "item_ord", "first_frame", "first_ord", "sticky"] and len(made) == 40_000
+    assert (made["first_frame"] == 0).all() and (made["first_ord"] == made["item_ord"]).all() and made["item_ord"].tolist()[:4] == [0, 1, 0, 1]
