@@ -91,6 +91,12 @@ def test_documents_say_why_they_are_not_read(spark):
     assert timeline.document_states(bare.select("clip_id", exclusions.persisted(F.col("document"), F.array(F.lit(4))).alias("document"))).first().excluded == [4]
 
 
+def test_written_documents_are_read_and_not_worked_out_again(spark):
+    found = catalogue.QUERIES["s13_timeline_write"](spark, SF)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "Window" not in plan and "document" in plan
+
+
 def test_arguments_are_checked():
     assert arguments.roi("0,0.5,1,1") == (0, 0.5, 1, 1) and arguments.quality(" Lossless ") == "lossless" and arguments.quality("51") == "51"
     assert arguments.run_ids("3, 1,") == (3, 1) and arguments.text_value("AUTO") is None and arguments.text_value("255") == 255
