@@ -168,6 +168,43 @@ def test_short_lines_are_compared(spark):
     assert sorted(r.doc_id for r in rows if r.text == "") == [2, 4, 8] and all(r.n == 1 for r in rows)
 
 
+def test_lines_that_agree_on_any_block_are_compared(spark):
+    a = "ble thntes erreha that erstlyer rent tiingtion of from it hable the whouor ofertionatre lytionble reshti the thnt nt"
+    b = "ble thntes erreha that erstlyer that tiingtion of ednd it hable thlyre whouor ofertionatre lytionble reshti the thnt nt"
+    rows = line_dedup.dedup_lines(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in rows} == {1: a, 2: ""}, "their only equal blocks are the sixth and the seventh"
+
+
+def test_edits_in_most_words_are_counted_whole(spark):
+    long = ["window", "garden", "silver", "mother", "orange", "planet", "stream", "bridge", "forest", "candle", "marble", "pocket"]
+    a, b = (" ".join([*long, *["ab" if changed is None or n >= changed else "ac" for n in range(40)]]) for changed in (None, 38))
+    assert len(a) == 203
+    rows = line_dedup.dedup_lines(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in rows} == {1: a, 2: ""}, "38 of 40 edits"
+
+
+def test_a_large_group_is_not_compared_in_rows(spark, monkeypatch):
+    """Stragglers have the SimHash of 210 like lines and are like none of them."""
+    rng = np.random.default_rng(11)
+    long = ["".join(rng.choice(list("abcdefghijklm"), 6)) for _ in range(20)]
+    pair = lambda: "".join(rng.choice(list("nopqrstuvwxyz"), 2))
+    short = [pair() for _ in range(30)]
+    copies = [[*long, *short[:n], pair(), *short[n + 1 :]] for n in range(30) for _ in range(7)]
+    stragglers = [[*long, *[pair()[::-1].upper() for _ in range(30)]] for _ in range(60)]
+    docs = spark.createDataFrame([(n, " ".join(words)) for n, words in enumerate([*copies, *stragglers])], "doc_id long, text string")
+    counts, save = [], Scratch.save
+
+    def counted(self, df):
+        table = save(self, df)
+        counts.append(table.read().count())
+        return table
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    gone = {r.doc_id for r in line_dedup.dedup_lines(docs).collect() if r.text == ""}
+    assert set(range(1, 210)) <= gone and not gone - set(range(210)), "the stragglers stay"
+    assert max(counts) < 6_000, "210 lines and 60 stragglers are 12,600 pairs"
+
+
 def test_long_lines_that_differ_in_a_word_are_linked(spark):
     text = "a b c d " * 8_250
     docs = spark.createDataFrame([(1, text + "x"), (2, text + "y")], "doc_id long, text string")
