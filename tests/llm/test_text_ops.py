@@ -175,6 +175,26 @@ def test_lines_that_agree_on_any_block_are_compared(spark):
     assert {r.doc_id: r.text for r in rows} == {1: a, 2: ""}, "their only equal blocks are the sixth and the seventh"
 
 
+def test_short_lines_are_compared_whatever_their_other_blocks(spark):
+    """SimHashes of the first pair differ in 58 bits, of the second in 53."""
+    docs = [
+        (1, "ouelle les euxaich la en oich équevi de oument èqueêle aiéèeuxelleaux èaieux ououêè pament"),
+        (2, "ouelle les euxaich la en la équevi de oument leauxaux aiéèeuxelleaux èaieux ououêè pamentê"),
+        (3, "in erre to it rendon whrehe at"),
+        (4, "in erre to it therble whrehe at"),
+    ]
+    rows = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in rows if r.text == "") == [2, 4]
+
+
+def test_lines_of_short_words_are_compared(spark):
+    a = "the cat sat on the mat and the dog ran to the big red car by the old oak at the end of a day"
+    b = "the cat sat on the mat and the hen ran to the big red car by the old oak at the end of a day"
+    assert len(a) > 75
+    rows = line_dedup.dedup_lines(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in rows} == {1: a, 2: ""}, "no word has four letters"
+
+
 def test_edits_in_most_words_are_counted_whole(spark):
     long = ["window", "garden", "silver", "mother", "orange", "planet", "stream", "bridge", "forest", "candle", "marble", "pocket"]
     a, b = (" ".join([*long, *["ab" if changed is None or n >= changed else "ac" for n in range(40)]]) for changed in (None, 38))
