@@ -225,6 +225,25 @@ def test_a_large_group_is_not_compared_in_rows(spark, monkeypatch):
     assert max(counts) < 6_000, "210 lines and 60 stragglers are 12,600 pairs"
 
 
+def test_short_pairs_that_are_no_links_are_no_rows(spark, monkeypatch):
+    """Lines of the same words in other orders agree on all blocks, counts and many runs, and are unlike."""
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefghijklm"), 6)) for _ in range(12)]
+    orders = [[words[i] for i in rng.permutation(12)] for _ in range(200)]
+    changed = {200 + k: ["nnnnnn" if w == words[3] else w for w in orders[k]] for k in (60, 150)}
+    docs = spark.createDataFrame([(n, " ".join(line)) for n, line in [*enumerate(orders), *changed.items()]], "doc_id long, text string")
+    counts, save = [], Scratch.save
+
+    def counted(self, df):
+        table = save(self, df)
+        counts.append(table.read().count())
+        return table
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    assert {r.doc_id for r in line_dedup.dedup_lines(docs).collect() if r.text == ""} == set(changed)
+    assert max(counts) < 6_000, "202 lines are 20,301 pairs"
+
+
 def test_long_lines_that_differ_in_a_word_are_linked(spark):
     text = "a b c d " * 8_250
     docs = spark.createDataFrame([(1, text + "x"), (2, text + "y")], "doc_id long, text string")
