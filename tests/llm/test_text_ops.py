@@ -244,6 +244,52 @@ def test_short_pairs_that_are_no_links_are_no_rows(spark, monkeypatch):
     assert max(counts) < 6_000, "202 lines are 20,301 pairs"
 
 
+def made_by_joins(plan):
+    """The rows that each join of a plan that has run made."""
+    name = plan.nodeName()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in name else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [plan.metrics().apply("numOutputRows").value()] if "Join" in name else []
+    return own + [n for p in inner for n in made_by_joins(p)]
+
+
+def test_no_join_makes_rows_of_pairs_that_are_no_links(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    words = ["".join(rng.choice(list("abcdefghijklm"), 6)) for _ in range(12)]
+    orders = [[words[i] for i in rng.permutation(12)] for _ in range(300)]
+    changed = {300 + k: ["nnnnnn" if w == words[3] else w for w in orders[k]] for k in (60, 150)}
+    docs = spark.createDataFrame([(n, " ".join(line)) for n, line in [*enumerate(orders), *changed.items()]], "doc_id long, text string").repartition(1)
+    counts, save = [], Scratch.save
+
+    def counted(self, df):
+        df.collect()
+        counts.extend(made_by_joins(df._jdf.queryExecution().executedPlan()))
+        return save(self, df)
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    monkeypatch.setattr(line_dedup, "CROWD", 120)  # their keys are dealt in three parts
+    assert {r.doc_id for r in line_dedup.dedup_lines(docs).collect() if r.text == ""} == set(changed)
+    assert len(counts) > 10 and max(counts) < 20_000, "302 lines are 45,451 pairs"
+
+
+def test_marks_leave_room_for_every_edit(spark):
+    rng = np.random.default_rng(14)
+    forms = {"", "a", "the the the the the the the the", "日本語 テキスト 日本語"}
+    for _ in range(60):
+        form = list(rng.choice(list("ab é"), rng.integers(1, 90)))
+        for _ in range(4):
+            forms.add("".join(form))
+            at = rng.integers(len(form))
+            form[at : at + rng.integers(2)] = list(rng.choice(list("abx"), rng.integers(3)))
+            form = form or ["a"]
+    made = line_dedup.marks(spark.createDataFrame(list(enumerate(sorted(forms))), "h long, form string"))
+    rows = made.join(spark.createDataFrame(list(enumerate(sorted(forms))), "h long, form string"), "h")
+    x, y = rows.alias("x"), rows.alias("y")
+    names = [f"m{k}" for k in range(line_dedup.MARKS)]
+    apart = F.greatest("x.marked", "y.marked") - line_dedup._shared_bits(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), names)
+    pairs = x.join(y, F.col("x.h") < F.col("y.h")).where("length(x.form) > 1 and length(y.form) > 1")
+    assert pairs.where(apart > 2 * F.levenshtein("x.form", "y.form")).count() == 0 and pairs.where(apart > 0).count() > 1000
+
+
 def test_long_lines_that_differ_in_a_word_are_linked(spark):
     text = "a b c d " * 8_250
     docs = spark.createDataFrame([(1, text + "x"), (2, text + "y")], "doc_id long, text string")
