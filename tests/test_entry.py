@@ -97,6 +97,29 @@ def test_written_documents_are_read_and_not_worked_out_again(spark):
     assert "MapInArrow" not in plan and "Window" not in plan and "document" in plan
 
 
+def test_documents_of_many_clips_are_written_in_parts(spark, monkeypatch):
+    from glyphframe.plans import timeline_queries
+
+    query, rows, kept = catalogue.QUERIES["s13_timeline_write"], [], []
+    whole = sorted(map(tuple, query(spark, SF).collect()))
+    n = timeline_queries.dets_of(spark, SF).count()
+    write, stored = timeline_queries.stored, []
+
+    def counted(found, path, *mode):
+        table = write(found, path, *mode)
+        stored.append(path)
+        rows.append(table.count()) if path.endswith("/regions") else kept.append(table.count())
+        return table
+
+    monkeypatch.setattr(timeline_queries, "stored", counted)
+    monkeypatch.setattr(timeline_queries, "AT_ONCE", n // 3)
+    assert sorted(map(tuple, query(spark, SF).collect())) == whole
+    assert len(rows) >= 3 and max(rows) < 0.75 * sum(rows), "regions of some clips at a time"
+    assert kept == sorted(kept) and kept[-1] == len(whole)
+    place = spark._jvm.org.apache.hadoop.fs.Path(stored[0])
+    assert not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def test_arguments_are_checked():
     assert arguments.roi("0,0.5,1,1") == (0, 0.5, 1, 1) and arguments.quality(" Lossless ") == "lossless" and arguments.quality("51") == "51"
     assert arguments.run_ids("3, 1,") == (3, 1) and arguments.text_value("AUTO") is None and arguments.text_value("255") == 255
